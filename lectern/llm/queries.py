@@ -1,6 +1,7 @@
 """Queries of this package and their SQL, by name."""
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .simhash import op10_simhash
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+QUERIES = {"op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
 SQL = {"op1_decontamination": OP1_SQL}
