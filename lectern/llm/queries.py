@@ -1,7 +1,8 @@
 """Queries of this package and their SQL, by name."""
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .linededup import op7_line_dedup
 from .simhash import op10_simhash
 
-QUERIES = {"op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
 SQL = {"op1_decontamination": OP1_SQL}

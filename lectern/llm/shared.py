@@ -70,6 +70,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     of many alike ids costs links in proportion to its size: each id is first held against the
     bucket's smallest id, and then only pairs whose ends are not yet connected are tried.
     """
+    members = members.repartition("bucket")  # one exchange serves the aggregate and the join
     low = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     held = cut(members.join(low, "bucket").distinct())
     first = cut(verify(held.where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()))
