@@ -2,7 +2,8 @@
 
 from .decontaminate import OP1_SQL, op1_decontamination
 from .linededup import op7_line_dedup
+from .quality import op2_quality
 from .simhash import op10_simhash
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
+QUERIES = {"op2_quality": op2_quality, "op7_line_dedup": op7_line_dedup, "op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
 SQL = {"op1_decontamination": OP1_SQL}
