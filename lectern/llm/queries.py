@@ -1,10 +1,11 @@
 """Queries of this package and their SQL, by name."""
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .fingerprint import op9_fingerprint
 from .langid import op8_language_id
 from .linededup import op7_line_dedup
 from .quality import op2_quality
 from .simhash import op10_simhash
 
-QUERIES = {"op8_language_id": op8_language_id, "op2_quality": op2_quality, "op7_line_dedup": op7_line_dedup, "op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
+QUERIES = {"op9_fingerprint": op9_fingerprint, "op8_language_id": op8_language_id, "op2_quality": op2_quality, "op7_line_dedup": op7_line_dedup, "op10_simhash": op10_simhash, "op1_decontamination": op1_decontamination}
 SQL = {"op1_decontamination": OP1_SQL}
