@@ -190,6 +190,18 @@ class QualityModel:
 
         return rows.mapInArrow(scan, rows.select(*names).schema.add("score", "double"))
 
+    def keep(self, docs: DataFrame, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+        """The documents that score least or more, columns as they are, in one pass over the texts."""
+        w, at = self.weights, docs.columns.index(text_col)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tk.python_threads()
+            for batch in batches:
+                got = [np.clip((w[one_hot(measures(data, offsets))].sum(axis=1) + 1) / 2, 0, 1) for _, _, data, offsets in tk.chunks(batch.column(at))]
+                yield batch.filter(pa.array(np.concatenate(got) >= least if got else [], pa.bool_()))
+
+        return docs.mapInArrow(scan, docs.schema)
+
 
 def train(rows: DataFrame, labels: DataFrame, *, trusted: Column | None = None, prior: float | None = None, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
     """rows: features() with the id; trusted: of which of them labels may be learnt (all by default).
