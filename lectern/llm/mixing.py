@@ -138,7 +138,7 @@ def rate_of(ys: list[list[float]], k: int) -> Column:
     return F.aggregate(steps, F.lit(1.0), step)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, keep: list[str] | None = None, smoothing: float = 5000.0) -> DataFrame:
     """The kept columns (all by default), tokens, posterior (array<double> by sorted domain), rate and copies.
 
     targets: shares of all tokens by domain. copies: the rate rounded up or down by a hash of the row, so
@@ -149,7 +149,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = TARGETS if targets is None else targets
     here = docs.withColumn("__row", F.xxhash64(*docs.columns))
     rows = cut(token_features(here, keep=[id_col, "__row"], text_col=text_col))
-    model = train(rows, labels, id_col=id_col, domain=domain)
+    model = train(rows, labels, id_col=id_col, domain=domain, smoothing=smoothing)
     scored = cut(rows.select(id_col, "__row", "tokens", model.posterior(F.col("grams")).alias("posterior")))
     total = scored.agg(F.sum("tokens")).first()[0] or 0
     ys = fit_rates(scored, model.domains, {d: s * total for d, s in targets.items()}) if model.domains else []
