@@ -107,7 +107,7 @@ def page_markers(spark, d):
 select q.source, q.point, b.doc_id from q left join b on q.source = b.source and q.point >= b.off and q.point < b.e""")
 def chunk_for_offset(spark, d):
     b = book_view(spark, d).select("source", "doc_id", "start_off", "end_off")
-    q = b.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0), F.lit(79 * 1777), F.lit(1777))).cast("long").alias("point"))
+    q = b.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79 * 1777).cast("long"), F.lit(1777).cast("long"))).alias("point"))
     return offsets.assign_interval(q, b, "source", "point", "start_off", "end_off").select("source", "point", "doc_id")
 
 
@@ -115,7 +115,7 @@ def chunk_for_offset(spark, d):
 select source, point from q where exists (select 1 from b where q.source = b.source and q.point >= b.off and q.point < b.e)""")
 def figures_inside(spark, d):
     b = book_view(spark, d).select("source", "start_off", "end_off")
-    q = b.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0), F.lit(79 * 1777), F.lit(1777))).cast("long").alias("point"))
+    q = b.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79 * 1777).cast("long"), F.lit(1777).cast("long"))).alias("point"))
     return offsets.assign_interval(q, b, "source", "point", "start_off", "end_off", "left_semi")
 
 
