@@ -52,9 +52,10 @@ def star_components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # one exchange serves an aggregate and the join with it
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
@@ -62,23 +63,52 @@ def star_components(edges: DataFrame) -> DataFrame:
     return roots.union(now.select("b", "b").distinct())
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *, prepare: Callable[[DataFrame], None] | None = None, describe: Callable[[DataFrame], DataFrame] | None = None, possible: Column | None = None, rounds: int = 3) -> DataFrame:
     """Components of ids linked by a verified pair of some bucket, as (id, root); ids alone are left out.
 
     members(bucket, id): ids that share a bucket are candidates. verify turns pairs(a, b), a > b, into
     the pairs that truly link. Connectivity is that of all verified pairs of all buckets, but a bucket
     of many alike ids costs links in proportion to its size: each id is first held against the
-    bucket's smallest id, and then only pairs whose ends are not yet connected are tried.
+    bucket's smallest id, in up to `rounds` rounds against another one taken at random, and then all
+    pairs of the bucket are tried whose ends are not yet connected.
+
+    prepare gets the ids that share a bucket with another, before any pair is verified. describe turns
+    ids into (id, more columns), and possible is a condition on id_a, id_b and those columns (with _a and
+    _b) without which a pair cannot link; it is part of the second join.
     """
     members = members.repartition("bucket")  # one exchange serves the aggregate and the join
     low = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     held = cut(members.join(low, "bucket").distinct())
+    if prepare:
+        prepare(held.select("id").distinct())
     first = cut(verify(held.where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()))
     roots = star_components(first)
     of = held.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = of.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
     left = cut(of.join(mixed, "bucket"))
-    a, b = left.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "bucket").where("a > b and ra <> rb").select("a", "b").distinct()
-    more = cut(verify(rest))
-    return star_components(first.select("a", "b").union(more.select("a", "b"))) if more.take(1) else roots
+    if describe:
+        left = cut(left.join(describe(left.select("id").distinct()), "id"))
+    links = first.select("a", "b")
+    info = [c for c in left.columns if c not in ("bucket", "root")]
+    found = False
+    for k in range(rounds):
+        if not left.take(1):
+            break
+        # another id of each bucket, at random, takes the part of the smallest one
+        other = left.groupBy("bucket").agg(F.min_by(F.struct("root", *info), F.xxhash64("id", F.lit(k))).alias("p")).select("bucket", F.col("p.root").alias("root_b"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in info])
+        near = left.select("bucket", F.col("root").alias("root_a"), *[F.col(c).alias(f"{c}_a") for c in info]).join(other, "bucket").where("root_a <> root_b")
+        near = near if possible is None else near.where(possible)
+        new = cut(verify(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()))
+        if not new.take(1):
+            break
+        found, links = True, links.union(new.select("a", "b"))
+        of = left.select("id", "root").distinct()
+        merged = star_components(new.join(of.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        now = left.join(merged.select(F.col("id").alias("root"), F.col("root").alias("__r")), "root", "left").withColumn("root", F.coalesce("__r", "root")).drop("__r")
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+        left = cut(now.join(mixed, "bucket", "left_semi"))
+    a, b = (left.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in left.columns if c != "bucket"]) for side in "ab")
+    rest = a.join(b, "bucket").where("id_a > id_b and root_a <> root_b")
+    rest = rest if possible is None else rest.where(possible)
+    more = cut(verify(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()))
+    return star_components(links.union(more.select("a", "b"))) if found or more.take(1) else roots

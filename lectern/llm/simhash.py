@@ -115,7 +115,7 @@ def components(prints: DataFrame, *, id_col: str = "doc_id", name: str = "fp", b
         raise ValueError("cells one step away serve up to 2 bits")
     points = prints.groupBy(F.col(name).alias("id")).agg(F.min(id_col).alias("first"))
     buckets = cells(points.select("id"), segments, bits)
-    roots = bucket_links(buckets, lambda pairs: pairs.where(hamming("a", "b") <= bits))
+    roots = bucket_links(buckets, lambda pairs: pairs.where(hamming("a", "b") <= bits), possible=hamming("id_a", "id_b") <= bits)
     named = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "root").select(F.col("id").alias("__id"), "component_id", F.col("root").alias("component"))
