@@ -61,16 +61,21 @@ class DomainModel:
     def __init__(self, domains: list[str], prior: list[float], likelihood: np.ndarray):
         self.domains, self.prior, self.likelihood = domains, prior, likelihood
 
-    def posterior(self, grams: Column) -> Column:
-        """array<double> in the order of domains."""
+    def with_posterior(self, rows: DataFrame) -> DataFrame:
+        """rows (with grams) and posterior, array<double> in the order of domains.
+
+        Each step is a column of its own: inside a lambda, what it is built from would be computed again for
+        every element.
+        """
         if not self.domains:
-            return F.array().cast("array<double>")
+            return rows.withColumn("posterior", F.array().cast("array<double>"))
         logs = []
         for p, row in zip(self.prior, self.likelihood, strict=True):
             weights = F.from_json(F.lit(json.dumps([round(float(x), 5) for x in row])), "array<double>")
-            logs.append(_sum_of(grams, weights, math.log(p)))
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        return _normalised(F.transform(F.array(*logs), lambda x: F.exp(F.greatest(x - top, F.lit(-60.0)))))
+            logs.append(_sum_of(F.col("grams"), weights, math.log(p)))
+        rows = rows.withColumn("__logs", F.array(*logs))
+        rows = rows.withColumn("__parts", F.transform("__logs", lambda x: F.exp(F.greatest(x - F.array_max("__logs"), F.lit(-60.0)))))
+        return rows.withColumn("posterior", _normalised(F.col("__parts"))).drop("__logs", "__parts")
 
 
 def _sum_of(grams: Column, weights: Column, start: float) -> Column:
@@ -150,7 +155,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     here = docs.withColumn("__row", F.xxhash64(*docs.columns))
     rows = cut(token_features(here, keep=[id_col, "__row"], text_col=text_col))
     model = train(rows, labels, id_col=id_col, domain=domain, smoothing=smoothing)
-    scored = cut(rows.select(id_col, "__row", "tokens", model.posterior(F.col("grams")).alias("posterior")))
+    scored = cut(model.with_posterior(rows).select(id_col, "__row", "tokens", "posterior"))
     total = scored.agg(F.sum("tokens")).first()[0] or 0
     ys = fit_rates(scored, model.domains, {d: s * total for d, s in targets.items()}) if model.domains else []
     rated = scored.withColumn("rate", rate_of(ys, len(model.domains)))
