@@ -1,6 +1,7 @@
 """Comparing a query with its SQL on the same tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -15,7 +16,7 @@ def values(df):
         text = str(x)
         if text in ("nan", "<NA>", "None", "NaT"):
             return "null"
-        return f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else text
+        return f"{float(x):.6f}" if isinstance(x, numbers.Number) and not isinstance(x, bool) else text
 
     return sorted(tuple(map(one, r)) for r in df.itertuples(index=False))
 
