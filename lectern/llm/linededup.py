@@ -1,8 +1,8 @@
 """Fuzzy line dedup: MinHash signatures, banding, exact Jaccard, distributed union-find.
 
 A line is a maximal piece of a text between newlines. Its set is its character shingles of `shingle`
-code points after lower-casing and collapsing white space; a line shorter than one shingle has no set
-and is left alone. Lines are named by a 64-bit hash of that normal form, so exact copies meet at once.
+code points after lower-casing and collapsing white space; a line shorter than that is one shingle, the
+whole line. Lines are named by a 64-bit hash of that normal form, so exact copies meet at once.
 
 1. Signature: `bands * rows` MinHash values of the whole line. Lines of similarity s meet in some band
    with probability 1 - (1 - s ** rows) ** bands: 0.995 at the threshold of 0.8, 0.9995 at 0.85. Eight
@@ -21,8 +21,8 @@ and is left alone. Lines are named by a 64-bit hash of that normal form, so exac
 Texts go through no shuffle but that of the candidates' lines and, to drop lines, of (id, place) keys
 that lost. Defined results: null and empty texts stay as they are; a row with a null id comes after
 all others; of repeated rows (equal id and text) each loses the lines that an earlier row has, rows
-being told apart by a digest, so rows alike in id and text keep or lose the same lines. Blank lines and
-lines shorter than a shingle stay. Extra columns stay.
+being told apart by a digest, so rows alike in id and text keep or lose the same lines. Blank lines stay.
+Lines shorter than a shingle are near their exact copies only. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
-def lines_of(text: str | None, shingle: int = SHINGLE) -> Iterator[tuple[int, str]]:
-    """(place, normal form) of the lines that have shingles."""
+def lines_of(text: str | None, least: int = 1) -> Iterator[tuple[int, str]]:
+    """(place, normal form) of the lines whose normal form has `least` code points or more, by default of all but blank ones."""
     for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= shingle and len(n := normal(line)) >= shingle:
+        if len(n := normal(line)) >= least:
             yield k, n
 
 
@@ -83,7 +83,7 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
-    x, y = ({s[i : i + shingle] for i in range(len(s) - shingle + 1)} for s in (a, b))
+    x, y = ({s[i : i + shingle] for i in range(max(1, len(s) - shingle + 1))} for s in (a, b))
     return len(x & y) / len(x | y) if x or y else 0.0
 
 
@@ -140,7 +140,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def line_bands(docs: DataFrame, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, id): the band keys of every line, once for each task that meets the line."""
+    """(bucket, id): the band keys of every line of a shingle or more, once for each task that meets the line."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk.python_threads()
@@ -173,7 +173,7 @@ def line_bands(docs: DataFrame, text_col: str, shingle: int, bands: int, rows: i
 
 
 def line_texts(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(id, line) of every line with shingles, repeats included but within a batch."""
+    """(id, line) of every line of a shingle or more, repeats included but within a batch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +237,8 @@ def line_components(docs: DataFrame, *, text_col: str = "text", shingle: int = S
     return bucket_links(members, lines.verify, prepare=lines.prepare, describe=lines.describe, possible=lines.possible())
 
 
-def occurrences(docs: DataFrame, key: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The key columns, place and line of every line with shingles."""
+def occurrences(docs: DataFrame, key: list[str], text_col: str) -> DataFrame:
+    """The key columns, place and line of every line but blank ones."""
     inputs = docs.select(*key, F.col(text_col).alias("__text"))
     at = len(key)
 
@@ -246,7 +246,7 @@ def occurrences(docs: DataFrame, key: list[str], text_col: str, shingle: int) ->
         for batch in batches:
             row, place, line = [], [], []
             for r, text in enumerate(batch.column(at).to_pylist()):
-                for k, n in lines_of(text, shingle):
+                for k, n in lines_of(text):
                     row.append(r)
                     place.append(k)
                     line.append(line_id(n))
@@ -256,15 +256,15 @@ def occurrences(docs: DataFrame, key: list[str], text_col: str, shingle: int) ->
     return inputs.mapInArrow(scan, inputs.select(*key).schema.add("place", "integer").add("line", "long"))
 
 
-def line_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
+def line_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, digest, places, components): for each row that loses lines, where they are and their components.
 
     Rows are named by id and a digest of id and text. An occurrence is kept if it is the component's
     first by (id nulls last, digest, place).
     """
     here = docs.select(F.col(id_col).alias("__i"), F.xxhash64(id_col, text_col).alias("__d"), F.col(text_col).alias("text"))
-    roots = line_components(docs, text_col=text_col, shingle=shingle, **options)
-    found = occurrences(here, ["__i", "__d"], "text", shingle)
+    roots = line_components(docs, text_col=text_col, **options)
+    found = occurrences(here, ["__i", "__d"], "text")
     # most lines occur once and are near no other: only what is shared is held against its component's first
     named = cut(found.join(roots.withColumnRenamed("id", "line"), "line", "left").select("__i", "__d", "place", F.coalesce("root", "line").alias("root")))
     order = F.struct(F.col("__i").isNull().alias("n"), F.col("__i").alias("i"), F.col("__d").alias("d"), F.col("place").alias("p"))
@@ -301,7 +301,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines with shingles, how many it loses, the digest of what stays, the shared lines' components."""
+    """Per document: its lines, how many it loses, the digest of what stays, the shared lines' components."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lost = line_losses(docs)
     here = docs.withColumn("__d", F.xxhash64("doc_id", "text"))

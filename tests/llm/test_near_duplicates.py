@@ -137,3 +137,10 @@ def test_pair_decisions_are_exact():
         b = " ".join(w)
         x, y = (np.unique(linededup.shingle_hashes([s], 8)[0]) for s in (a, b))
         assert linededup.similar(a, b, x, y, 0.8, 8) == (linededup.jaccard(a, b) >= 0.8)
+
+
+def test_short_lines_lose_their_copies(spark):
+    rows = [(1, "les.\n\n日本語の文。\nx"), (2, "  LES. \n\nles\n日本語の文。"), (3, "x\nles.\n ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert got == {1: rows[0][1], 2: "\nles", 3: " "}
