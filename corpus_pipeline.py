@@ -32,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each component of near-duplicates: by fingerprint, or by five-word similarity of 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

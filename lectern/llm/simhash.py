@@ -10,6 +10,13 @@ cell, and the Hamming distance of a pair that met decides. Nothing within the ra
 Copies of a text have one fingerprint and are grouped before the join, so a large group of exact
 copies is one row; see shared.bucket_links for large groups of near copies.
 
+Two bits fit near-exact copies only; an edit of one text in twenty moves five to ten. keep_one can so link,
+beside these, the texts of which at least a given share of five-word shingles is common. A radius that
+covers them leaves no part of 64 bits by which to search (11 segments of 6 bits, of which one is sure to
+agree, put all texts into 64 buckets), so those meet by MinHash bands of their shingles: at a similarity of
+0.8 all bands miss a pair with probability (1 - 0.8 ** 5) ** 24 = 0.00007, above it with less. What meets is
+decided on the whole sets.
+
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; fewer words
 than the shingle size give one shingle, the whole word sequence; a null id joins a component (the
 smallest non-null id of it) but names none: a component with null ids only has a null component id.
@@ -27,7 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import bucket_links, cut, table
+from .linededup import band_keys, minima
+from .shared import bucket_links, cut, star_components, table
+
+WORDS, BANDS, ROWS = 5, 24, 5
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else (b if tk.NON_SPACE[b] else 32) for b in range(256))
 #: For a byte, its bits as eight counters of eight bits each in one word.
@@ -71,8 +81,91 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: in
     return np.array(got, dtype=np.uint64), limits
 
 
-def simhash(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", shingle: int = 3, seed: int = 42, name: str = "fp") -> DataFrame:
-    """The kept columns (all by default) and the fingerprint, a long of 64 bits."""
+def word_windows(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `size` words of the chunk's rows, the rows' bounds in them, and a digest of each row's words."""
+    data = tk.FOLD[data]
+    starts, ends, bounds = tk.runs(data, offsets, tk.NON_SPACE)
+    total, words = tk.prefix_hash(tk.run_hashes(data, starts, ends)), np.diff(bounds)
+    count = np.where(words >= size, words - size + 1, np.minimum(words, 1))
+    limits = np.concatenate([[0], np.cumsum(count)])
+    first = np.arange(limits[-1]) - np.repeat(limits[:-1], count) + np.repeat(bounds[:-1], count)
+    return tk.window_hash(total, first, np.repeat(np.minimum(words, size), count)), limits, tk.window_hash(total, bounds[:-1], words).view(np.int64)
+
+
+def word_bands(docs: DataFrame, text_col: str) -> DataFrame:
+    """(bucket, id): the band keys of every text with words; id is the digest of its words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.python_threads()
+        for batch in batches:
+            for _, _, data, offsets in tk.chunks(batch.column(0)):
+                h, limits, ids = word_windows(data, offsets)
+                full = np.flatnonzero(np.diff(limits))
+                if len(full):
+                    keys = band_keys(minima(h, np.append(limits[full], limits[-1]), BANDS * ROWS, 17), BANDS, ROWS)
+                    yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(ids[full], BANDS))], names=["bucket", "id"])
+
+    return docs.select(text_col).mapInArrow(scan, "bucket long, id long")
+
+
+def word_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(id, n, text): the digest of each text's words and the number of its distinct shingles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.python_threads()
+        for batch in batches:
+            for lo, hi, data, offsets in tk.chunks(batch.column(0)):
+                h, limits, ids = word_windows(data, offsets)
+                n = [len(np.unique(h[a:b])) for a, b in zip(limits[:-1], limits[1:], strict=True)]
+                yield pa.record_batch([pa.array(ids), pa.array(n, pa.int64()), batch.column(0).slice(lo, hi - lo).cast(pa.string())], names=["id", "n", "text"])
+
+    return docs.select(text_col).mapInArrow(scan, "id long, n long, text string")
+
+
+class SharedWords:
+    """The texts that share a band, fetched once, and the exact comparison of their five-word sets."""
+
+    def __init__(self, docs: DataFrame, text_col: str, similarity: float):
+        self.docs, self.text_col, self.similarity = docs, text_col, similarity
+
+    def prepare(self, ids: DataFrame) -> None:
+        here = word_texts(self.docs, self.text_col).join(ids, "id", "left_semi")
+        self.texts = cut(here.groupBy("id").agg(F.first("n").alias("n"), F.first("text").alias("text")))
+
+    def describe(self, ids: DataFrame) -> DataFrame:
+        return self.texts.join(ids, "id", "left_semi").select("id", "n")
+
+    def enough(self, a: str, b: str) -> Column:
+        return F.least(a, b) >= F.lit(self.similarity) * F.greatest(a, b)
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        similarity = self.similarity
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok: list[bool] = []
+                for lo in range(0, batch.num_rows, 64):
+                    part = batch.slice(lo, 64)
+                    x, y = ([h[a:b] for _, _, data, offsets in tk.chunks(c) for h, limits, _ in [word_windows(data, offsets)] for a, b in zip(limits[:-1], limits[1:], strict=True)] for c in part.columns[2:])
+                    for s, t in zip(x, y, strict=True):
+                        s, t = np.unique(s), np.unique(t)
+                        shared = len(np.intersect1d(s, t, assume_unique=True))
+                        ok.append(shared >= similarity * (len(s) + len(t) - shared))
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        a, b = (self.texts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("text").alias(f"t{k}")) for k in "ab")
+        both = pairs.join(a, "a").join(b, "b").where(self.enough("na", "nb"))
+        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
+
+def word_links(docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """(id, root) of the texts, by the digests of their words, linked by a five-word Jaccard similarity."""
+    texts = SharedWords(docs, text_col, similarity)
+    return bucket_links(word_bands(docs, text_col), texts.verify, prepare=texts.prepare, describe=texts.describe, possible=texts.enough("n_a", "n_b"))
+
+
+def simhash(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", shingle: int = 3, seed: int = 42, name: str = "fp", words: str | None = None) -> DataFrame:
+    """The kept columns (all by default) and the fingerprint, a long of 64 bits; words names a column for a digest of the text's words."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     inputs = docs.select(*dict.fromkeys([*keep, text_col]))
     at = inputs.columns.index(text_col)
@@ -82,9 +175,14 @@ def simhash(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "
         for batch in batches:
             got = [fingerprints(*shingle_hashes(data, offsets, shingle, seed)) for _, _, data, offsets in tk.chunks(batch.column(at))]
             fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, name])
+            more = []
+            if words:
+                ids = [word_windows(data, offsets)[2] for _, _, data, offsets in tk.chunks(batch.column(at))]
+                more = [pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))]
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64)), *more], names=names)
 
-    return inputs.mapInArrow(scan, inputs.select(*keep).schema.add(name, "long"))
+    schema, names = inputs.select(*keep).schema.add(name, "long"), [*keep, name, *([words] if words else [])]
+    return inputs.mapInArrow(scan, schema.add(words, "long") if words else schema)
 
 
 def hamming(a: str, b: str) -> Column:
@@ -108,14 +206,16 @@ def cells(points: DataFrame, segments: int, reach: int) -> DataFrame:
     return points.select("id", own.alias("own"), F.array_compact(F.array(F.lit(0).cast("long"), *steps)).alias("steps")).select("id", F.explode("steps").alias("step"), "own").select((F.col("own") + F.col("step")).alias("bucket"), "id")
 
 
-def components(prints: DataFrame, *, id_col: str = "doc_id", name: str = "fp", bits: int = 2, segments: int = 16) -> DataFrame:
+def components(prints: DataFrame, *, id_col: str = "doc_id", name: str = "fp", bits: int = 2, segments: int = 16, links: DataFrame | None = None) -> DataFrame:
     """prints with component_id, the smallest id reachable over links of at most `bits` differing bits, and
-    component, the smallest fingerprint reachable (never null). prints is read twice: cut its lineage first."""
+    component, the smallest fingerprint reachable (never null). prints is read twice: cut its lineage first. links(a, b): further links of fingerprints."""
     if not 0 <= bits <= 2:
         raise ValueError("cells one step away serve up to 2 bits")
     points = prints.groupBy(F.col(name).alias("id")).agg(F.min(id_col).alias("first"))
     buckets = cells(points.select("id"), segments, bits)
     roots = bucket_links(buckets, lambda pairs: pairs.where(hamming("a", "b") <= bits), possible=hamming("id_a", "id_b") <= bits)
+    if links is not None:
+        roots = star_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")))
     named = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "root").select(F.col("id").alias("__id"), "component_id", F.col("root").alias("component"))
@@ -129,14 +229,20 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """One document of each component, columns as they are: that with the smallest id (nulls last; of
     repeated ids one by a digest of the row; of rows alike in all columns one). Components are found on
-    ids, digests and fingerprints; the texts move once, in the join with the kept keys."""
+    ids, digests and fingerprints; the texts move once, in the join with the kept keys. similarity: texts
+    of at least this five-word Jaccard similarity are linked too, and the texts that share a band move."""
     here = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    prints = cut(simhash(here, keep=[id_col, "__row"], text_col=text_col, name="__fp"))
+    prints = cut(simhash(here, keep=[id_col, "__row"], text_col=text_col, name="__fp", words=None if similarity is None else "__words"))
+    links = None
+    if similarity is not None:
+        fps = prints.groupBy("__words").agg(F.min("__fp").alias("f"))  # texts of equal words have one fingerprint
+        a, b = (fps.select(F.col("__words").alias(k), F.col("f").alias(side)) for k, side in (("id", "a"), ("root", "b")))
+        links = word_links(docs, text_col, similarity).join(a, "id").join(b, "root").select("a", "b")
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("d"))
-    kept = components(prints, id_col=id_col, name="__fp").groupBy("component").agg(F.min(key).alias("k"))
+    kept = components(prints, id_col=id_col, name="__fp", links=links).groupBy("component").agg(F.min(key).alias("k"))
     kept = kept.select(F.col("k.i").alias("__i"), F.col("k.d").alias("__d"))
     out = here.join(kept, here[id_col].eqNullSafe(kept["__i"]) & (here["__row"] == kept["__d"]), "left_semi")
     alike = prints.groupBy(id_col, "__row").count().where("count > 1").limit(1).count()

@@ -144,3 +144,25 @@ def test_short_lines_lose_their_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
     assert got == {1: rows[0][1], 2: "\nles", 3: " "}
+
+
+def test_five_word_similarity_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(16):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice([90, 200]))]
+        for edits in (0, 1, 3, 12):
+            w = list(words)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100, "too short"), (101, "Too  short"), (102, ""), (None, rows[0][1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    fp = [fingerprint(t) for _, t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum((fp[a] ^ fp[b]).bit_count() > 2 for a, b in alike) >= 5
+    group = roots(alike + [(a, b) for a in range(len(rows)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 2], len(rows))
+    want = {g: min(i for (i, _), h in zip(rows, group, strict=True) if h == g and i is not None) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df, similarity=0.8).collect()) == sorted(want.values())
+    assert simhash.keep_one(df.limit(0), similarity=0.8).count() == 0
