@@ -5,9 +5,10 @@ code points after lower-casing and collapsing white space; a line shorter than t
 whole line. Lines are named by a 64-bit hash of that normal form, so exact copies meet at once.
 
 1. Signature: `bands * rows` MinHash values of the whole line. Lines of similarity s meet in some band
-   with probability 1 - (1 - s ** rows) ** bands: 0.995 at the threshold of 0.8, 0.9995 at 0.85. Eight
-   characters to a shingle keep unlike prose apart (measured mean similarity 0.001), which is what
-   bounds the candidates.
+   with probability 1 - (1 - s ** rows) ** bands: 0.995 at the threshold of 0.8, 0.9999 at 0.85. Four
+   characters to a shingle let a line of 80 characters or more lose a word and stay similar (a replaced
+   word costs about its length and four shingles on each side); unlike prose then has a mean similarity
+   of 0.027, and 0.21 in one pair of a thousand (sf0.01), which eight rows to a band keep apart.
 2. Buckets of a band with two different lines or more give candidates, at a cost in proportion to the
    bucket's size however many of its lines are alike (shared.bucket_links).
 3. The lines of such buckets are fetched once. Lines that share a long passage and little else meet in
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import bucket_links, cut, table
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 10, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 4, 29, 8, 0.8
 
 
 def normal(line: str) -> str:
@@ -82,7 +83,7 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     return tk.mix(total[at]), bounds
 
 
-def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
+def jaccard(a: str, b: str, shingle: int = 8) -> float:
     x, y = ({s[i : i + shingle] for i in range(max(1, len(s) - shingle + 1))} for s in (a, b))
     return len(x & y) / len(x | y) if x or y else 0.0
 

@@ -166,3 +166,14 @@ def test_five_word_similarity_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(df, similarity=0.8).collect()) == sorted(want.values())
     assert simhash.keep_one(df.limit(0), similarity=0.8).count() == 0
+
+
+def test_lines_with_a_replaced_word_are_near(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]
+    base = [rng.sample(words, 12) for _ in range(20)]
+    edited = [[*w[:7], f"x{i}", *w[8:]] for i, w in enumerate(base)]
+    texts = ["\n".join(" ".join(w) for w in part) for part in (base, edited)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(linededup.jaccard(a, b, linededup.SHINGLE) >= 0.8 > linededup.jaccard(a, b, 8) for a, b in zip(*(t.split("\n") for t in texts), strict=True))
+    assert got == {0: texts[0], 1: ""}
