@@ -1,5 +1,6 @@
 """SimHash and line dedup against brute force; components; edge cases."""
 
+import math
 import random
 
 import numpy as np
@@ -177,3 +178,9 @@ def test_lines_with_a_replaced_word_are_near(spark):
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(linededup.jaccard(a, b, linededup.SHINGLE) >= 0.8 > linededup.jaccard(a, b, 8) for a, b in zip(*(t.split("\n") for t in texts), strict=True))
     assert got == {0: texts[0], 1: ""}
+
+
+def test_sketches_lose_next_to_nothing():
+    n, p = linededup.SKETCH_BITS, (1 + linededup.SIMILARITY) / 2
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(linededup.MATCHES))
+    assert lost < 0.001 * (1 - linededup.SIMILARITY**linededup.ROWS) ** linededup.BANDS
