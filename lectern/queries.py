@@ -677,7 +677,7 @@ def watch_stable(spark, d):
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     """Books as JSON for rendering: chunks with extracted notes, verified quotes, stub synthesis and parts."""
     b, h = full_books(spark, d)
-    chunks = sections.build_chunks(b, h).where("idx <= 12")
+    chunks = sections.build_chunks(b, h)
     body = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
     chunks = chunks.join(b.select("book_id", "text"), "book_id").withColumn("text", body)
     quoted = chunks.select("book_id", "idx", F.explode(F.array(F.substring("text", 1, 120), F.substring("text", 300, 90))).alias("text"))

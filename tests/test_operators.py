@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import queries
 from lectern.functions.python import normalized
 from lectern.operators import headings, offsets, quotes, sections
 from lectern.plans import model, stages, synthesis
@@ -272,3 +273,11 @@ def test_watch_stream(spark, tmp_path):
     time.sleep(3)
     q.stop()
     assert len(got) == 1 and got[0].endswith("a.epub")
+
+
+def test_summaries_have_every_chunk(spark, tmp_path):
+    docs = [(i, "src0", f"Document {i} begins. " + f"Sentence of document {i} goes on. " * 1200) for i in range(14)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = queries.chunk_build(spark, str(tmp_path)).collect()
+    book = json.loads(queries.summaries(spark, str(tmp_path)).first().book)
+    assert len(chunks) > 12 and sorted(c["idx"] for c in book["chapters"]) == sorted(c.idx for c in chunks)
