@@ -281,3 +281,8 @@ def test_summaries_have_every_chunk(spark, tmp_path):
     chunks = queries.chunk_build(spark, str(tmp_path)).collect()
     book = json.loads(queries.summaries(spark, str(tmp_path)).first().book)
     assert len(chunks) > 12 and sorted(c["idx"] for c in book["chapters"]) == sorted(c.idx for c in chunks)
+
+
+def test_every_document_is_a_chapter(spark, tmp_path):
+    spark.createDataFrame([(i, "src0", f"first {i}\nsecond") for i in range(7)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in queries.note_digest(spark, str(tmp_path)).collect()) == list(range(7))
