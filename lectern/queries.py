@@ -554,8 +554,8 @@ def heading_cascade(spark, d):
 
 @query()
 def font_headings(spark, d):
-    x = t(spark, d, "documents").select("source", "doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 6)).alias("k", "text")).where("trim(text) <> ''")
-    seq = F.col("doc_id") * 10 + F.col("k")
+    x = t(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).where("trim(text) <> ''")
+    seq = F.shiftleft("doc_id", 24) + F.col("k")
     lines = x.select(F.col("source").alias("book_id"), seq.alias("seq"), F.col("doc_id").alias("page"), F.when(F.col("k") == 0, F.concat(F.lit("Title "), F.col("doc_id").cast("string"))).otherwise(F.col("text")).alias("text"), F.when((F.col("k") == 0) & (F.floor(F.col("doc_id") / 20) % 3 == 0), 18.0).otherwise(10.0).alias("size"))
     return headings.font_headings(lines, x.select(F.col("source").alias("book_id"), "doc_id").distinct())
 
@@ -637,7 +637,7 @@ def apply_fixes(spark, d):
 @query()
 def model_requests(spark, d):
     schema = json.dumps(synthesis.note_schema(600))
-    x = t(spark, d, "documents").where("doc_id < 40").select("doc_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.substring("text", 1, 500).alias("content")))).alias("messages"), F.lit(schema).alias("schema"), F.lit(None).cast("int").alias("max_tokens"))
+    x = t(spark, d, "documents").select("doc_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))).alias("messages"), F.lit(schema).alias("schema"), F.lit(None).cast("int").alias("max_tokens"))
     return model.ask(x, model.StubClient, keys=["doc_id"])
 
 

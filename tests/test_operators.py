@@ -286,3 +286,14 @@ def test_summaries_have_every_chunk(spark, tmp_path):
 def test_every_document_is_a_chapter(spark, tmp_path):
     spark.createDataFrame([(i, "src0", f"first {i}\nsecond") for i in range(7)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in queries.note_digest(spark, str(tmp_path)).collect()) == list(range(7))
+
+
+def test_headings_and_requests_read_whole_texts(spark, tmp_path, monkeypatch):
+    text = "\n".join(f"line {k} of plain text" for k in range(30))
+    spark.createDataFrame([(i, "src0", text) for i in range(50)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries.headings, "font_headings", lambda lines, pages: lines)
+    monkeypatch.setattr(queries.model, "ask", lambda x, *_, **__: x)
+    given = queries.font_headings(spark, str(tmp_path)).collect()
+    assert len(given) == len({r.seq for r in given}) == 50 * 30
+    asked = queries.model_requests(spark, str(tmp_path)).collect()
+    assert len(asked) == 50 and all(json.loads(r.messages)[0]["content"] == text for r in asked)
