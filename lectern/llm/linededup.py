@@ -1,29 +1,34 @@
 """Fuzzy line dedup: MinHash signatures, banding, exact Jaccard, distributed union-find.
 
 A line is a maximal piece of a text between newlines. Its set is its character shingles of `shingle`
-code points after lower-casing and collapsing white space; a line shorter than that is one shingle, the
-whole line. Lines are named by a 64-bit hash of that normal form, so exact copies meet at once.
-
-1. Signature: `bands * rows` MinHash values of the whole line. Lines of similarity s meet in some band
-   with probability 1 - (1 - s ** rows) ** bands: 0.995 at the threshold of 0.8, 0.9999 at 0.85. Four
-   characters to a shingle let a line of 80 characters or more lose a word and stay similar (a replaced
-   word costs about its length and four shingles on each side); unlike prose then has a mean similarity
-   of 0.027, and 0.21 in one pair of a thousand (sf0.01), which eight rows to a band keep apart.
-2. Buckets of a band with two different lines or more give candidates, at a cost in proportion to the
-   bucket's size however many of its lines are alike (shared.bucket_links).
-3. The lines of such buckets are fetched once. Lines that share a long passage and little else meet in
-   many buckets without being similar, so where pairs of a bucket are still to be tried, a pair must first
-   agree in size and in a sketch of 256 one-bit MinHash values: at the threshold a pair agrees in 230.4 of
-   them on average with a deviation of 4.8, and MATCHES, 6.3 deviations below, loses less than one such pair in 100 million.
-   The shingle sets of what remains are compared exactly.
-4. Components of the verified links by alternating stars; of each component, and of each line's exact
+code points after lower-casing and collapsing white space; a line shorter than that is near its exact
+copies only. Lines are named by a 64-bit hash of that normal form (of a billion different lines two share
+one with a probability of 0.03), so exact copies meet at once.
+
+1. One scan of the texts gives the occurrences of all lines and, of lines of a shingle or more, a
+   signature of `bands * rows` MinHash values over the whole line: the least and the greatest value under
+   each of half as many permutations. Lines of similarity s meet in some band with probability
+   1 - (1 - s ** rows) ** bands: 0.996 at the threshold of 0.8, 0.9997 at 0.85 (measured in the tests).
+2. Band keys and occurrences go through one exchange, packed by part. A task keeps what is shared: the
+   ids of buckets with two different lines or more. What it remembers of a bucket is one id, so its
+   memory doesn't grow with the bucket.
+3. Of the lines in such buckets one occurrence each is read again, by a Bloom filter of fixed size over
+   (row, place), which lets a few others through, to no effect.
+4. Candidate pairs are made as shared.bucket_links says: at a cost in proportion to a bucket's size
+   however many of its lines are alike, with exact bounds on size and on parity sketches and nothing
+   lost after the bands. Their shingle sets are compared exactly.
+5. Components of the verified links by alternating stars; of each component, and of each line's exact
    copies, the first occurrence by (id, place in the text) is kept in the whole corpus.
 
-Texts go through no shuffle but that of the candidates' lines and, to drop lines, of (id, place) keys
-that lost. Defined results: null and empty texts stay as they are; a row with a null id comes after
-all others; of repeated rows (equal id and text) each loses the lines that an earlier row has, rows
-being told apart by a digest, so rows alike in id and text keep or lose the same lines. Blank lines stay.
-Lines shorter than a shingle are near their exact copies only. Extra columns stay.
+Five characters to a shingle let a line of 100 characters or more lose a word and stay similar (a
+replaced word costs about its length and five shingles on each side), while unlike prose has next to none
+in common.
+
+Defined results: null and empty texts stay as they are; a row with a null id comes after all others; of
+repeated rows (equal id and text) each but one loses all its lines, as a repetition; of rows of equal id
+and unlike texts the one with the smaller digest comes first. Blank lines stay. Texts of any length are
+read whole; a line of any length is one set. Extra columns stay, whatever their names. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -34,13 +39,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import bucket_links, cut, table
+from .shared import HELD, PENDING, SKETCH, WORDS, Shared, bucket_links, cut, dealt, distinct_hashes, free, pack, parity_sketch, table, tasks_and_parts, unpack
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 4, 29, 8, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 5, 18, 6, 0.8
+_SLICE = 1 << 17  # code points whose signatures are computed at once
+_LATER = 4096  # lines whose band keys are computed at once
 
 
 def normal(line: str) -> str:
@@ -52,8 +60,13 @@ def normal(line: str) -> str:
 
 def lines_of(text: str | None, least: int = 1) -> Iterator[tuple[int, str]]:
     """(place, normal form) of the lines whose normal form has `least` code points or more, by default of all but blank ones."""
-    for k, line in enumerate((text or "").split("\n")):
-        if len(n := normal(line)) >= least:
+    if not text:
+        return
+    text = text.lower()
+    plain = "  " not in text and text.replace("\n", "").isprintable()
+    for k, line in enumerate(text.split("\n")):
+        n = line.strip(" ") if plain else " ".join(line.split())
+        if len(n) >= least:
             yield k, n
 
 
@@ -62,28 +75,26 @@ def line_id(n: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' code points, and where each line starts and ends in them."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
+    return points, np.concatenate([[0], ends[:-1]]), ends
+
+
 def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the lines (each at least a shingle long), and the lines' bounds."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    size = np.fromiter((len(x) for x in lines), dtype=np.int64, count=len(lines))
-    windows = size - shingle + 1
+    points, starts, ends = _points(lines)
+    windows = ends - starts - shingle + 1
     bounds = np.concatenate([[0], np.cumsum(windows)])
-    h = tk.mix(points)
-    total, width, offset, need = None, 1, 0, shingle  # hashes of widths 1, 2, 4, ... put together to the shingle's
-    while need:
-        if need & 1:
-            part = h[offset:]
-            total = part if total is None else total[: len(part)] * np.uint64(0x9E3779B97F4A7C15) + part
-            offset += width
-        need >>= 1
-        if need:
-            h = h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:] if len(h) > width else h[:0]
-            width *= 2
-    at = np.arange(bounds[-1]) + np.repeat((np.cumsum(size) - size) - bounds[:-1], windows)
-    return tk.mix(total[at]), bounds
-
-
-def jaccard(a: str, b: str, shingle: int = 8) -> float:
+    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], windows)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(shingle):
+        h = tk.mix(h * np.uint64(0x9E3779B97F4A7C15) + points[at + k].astype(np.uint64) + np.uint64(1))
+    return h, bounds
+
+
+def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     x, y = ({s[i : i + shingle] for i in range(max(1, len(s) - shingle + 1))} for s in (a, b))
     return len(x & y) / len(x | y) if x or y else 0.0
 
@@ -103,115 +114,232 @@ def similar(a: str, b: str, x: np.ndarray, y: np.ndarray, similarity: float, shi
     return jaccard(a, b, shingle) >= similarity
 
 
-def minima(x: np.ndarray, bounds: np.ndarray, count: int, seed: int) -> np.ndarray:
-    """MinHash values of the rows of shingle hashes x, a row for each line."""
-    x = (x >> np.uint64(32)).astype(np.uint32)
-    mult = np.random.default_rng(seed).integers(1, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    out, buffer = np.empty((count, len(bounds) - 1), dtype=np.uint32), np.empty_like(x)
+def extremes(x: np.ndarray, starts: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """MinHash values (count by rows) of rows of 32-bit hashes, each running to the next one's start: the
+    least and the greatest value under count / 2 permutations."""
+    mult = np.random.default_rng(seed).integers(1, 2**31, -(-count // 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    out, buffer = np.empty((count, len(starts)), dtype=np.uint32), np.empty_like(x)
     for k in range(count):
-        np.multiply(x, mult[k], out=buffer)
-        out[k] = np.minimum.reduceat(buffer, bounds[:-1])
-    return out.T
+        if not k & 1:
+            np.multiply(x, mult[k >> 1], out=buffer)
+        (np.maximum if k & 1 else np.minimum).reduceat(buffer, starts, out=out[k])
+    return out
 
 
 def signatures(lines: list[str], shingle: int, count: int) -> np.ndarray:
-    return minima(*shingle_hashes(lines, shingle), count, 11)
-
-
-SKETCH_BITS, MATCHES = 256, 200
-
-
-def sketches(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number of distinct shingles of each line, and its 256 one-bit MinHash values as four longs."""
-    x, bounds = shingle_hashes(lines, shingle)
-    size = np.array([len(np.unique(x[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], dtype=np.int64)
-    bits = (minima(x, bounds, SKETCH_BITS, 13) * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)
-    return size, np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<i8")
+    """MinHash values, count by lines, each line a shingle or longer."""
+    points, starts, ends = _points(lines)
+    odd = np.random.default_rng(29).integers(1, 2**31, shingle, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    h = points * odd[0]
+    for k in range(1, shingle):
+        h[:-k] += points[k:] * odd[k]
+    for k in range(1, shingle):  # a window that would leave its line is the line's first one again
+        h[ends - k] = h[starts]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return extremes(h, starts, count, 11)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """64-bit keys of the bands, a row for each line."""
-    out = np.empty((len(sig), bands), dtype=np.uint64)
+    """64-bit keys of the bands (a row for each line) of signatures that are count by lines."""
+    out = np.empty((sig.shape[1], bands), dtype=np.uint64)
     for b in range(bands):
-        h = np.full(len(sig), b + 1, dtype=np.uint64)
+        h = np.full(sig.shape[1], b + 1, dtype=np.uint64)
         for r in range(rows):
-            h = tk.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
+            h = tk.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[b * rows + r])
         out[:, b] = h
     return out.view(np.int64)
 
 
-def line_bands(docs: DataFrame, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, id): the band keys of every line of a shingle or more, once for each task that meets the line."""
+def slices(lines: list[str]) -> Iterator[list[str]]:
+    lo, size = 0, 0
+    for hi, n in enumerate(lines):
+        if size and size + len(n) > _SLICE:
+            yield lines[lo:hi]
+            lo, size = hi, 0
+        size += len(n)
+    if lo < len(lines):
+        yield lines[lo:]
+
+
+def keys_of(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray:
+    sigs = [signatures(part, shingle, bands * rows) for part in slices(lines)]
+    return band_keys(np.concatenate(sigs, axis=1), bands, rows) if sigs else np.zeros((0, bands), np.int64)
+
+
+def line_index(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """From docs(i, d, text), d a digest of i and text: the members (bucket, id, low) of buckets that lines
+    share, and the occurrences (i, d, place, line, many) of all lines but blank ones; many is false
+    only where a line occurs once. One scan, one exchange."""
+    tasks, parts = tasks_and_parts(docs.sparkSession)
+    kind = docs.schema["i"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk.python_threads()
         seen: set[int] = set()
+        todo: dict[int, str] = {}
+        held: list[np.ndarray] = []
+        names = ["part", "keys", "occ", "ids"]
+
+        def hand_over() -> pa.RecordBatch:
+            rows_ = np.concatenate(held)
+            held.clear()
+            part, blob, _, _ = pack((rows_[:, 0] >> 20) % parts, parts, rows_)
+            return pa.record_batch([part, blob, pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.list_(id_type))], names=names)
 
-        def flush(todo: dict[int, str]) -> pa.RecordBatch:
+        def flush() -> None:
             ids = np.fromiter(todo, dtype=np.int64, count=len(todo))
-            keys = band_keys(signatures(list(todo.values()), shingle, bands * rows), bands, rows)
-            return pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(ids, bands))], names=["bucket", "id"])
+            keys = keys_of(list(todo.values()), shingle, bands, rows)
+            todo.clear()
+            held.append(np.stack([keys.ravel(), np.repeat(ids, bands)], axis=1))
 
+        id_type = None
         for batch in batches:
-            todo: dict[int, str] = {}
-            size = 0
-            for text in batch.column(0).to_pylist():
-                for _, n in lines_of(text, shingle):
+            id_type = batch.column(0).type
+            row, place, line = [], [], []
+            for r, text in enumerate(batch.column(2).to_pylist()):
+                for k, n in lines_of(text):
                     i = line_id(n)
-                    if i not in seen:
+                    row.append(r)
+                    place.append(k)
+                    line.append(i)
+                    if i not in seen and len(n) >= shingle:
                         if len(seen) > 1 << 18:  # forgetting costs repeated rows only
                             seen.clear()
                         seen.add(i)
                         todo[i] = n
-                        size += len(n)
-                        if size > 1 << 15:
-                            yield flush(todo)
-                            todo, size = {}, 0
-            if todo:
-                yield flush(todo)
-
-    return docs.select(text_col).mapInArrow(scan, "bucket long, id long")
-
-
-def line_texts(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(id, line) of every line of a shingle or more, repeats included but within a batch."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if len(todo) >= _LATER:
+                    flush()
+                    if sum(map(len, held)) >= PENDING:
+                        yield hand_over()
+            if row:
+                at = np.array(row)
+                digest = np.asarray(batch.column(1))
+                occ = np.stack([np.array(line, dtype=np.int64), digest[at], np.array(place, dtype=np.int64)], axis=1)
+                part, blob, order, ends = pack((occ[:, 0] >> 20) % parts, parts, occ)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column(0).take(pa.array(at[order])))
+                yield pa.record_batch([part, pa.nulls(len(part), pa.binary()), blob, ids], names=names)
+        if todo:
+            flush()
+        if held:
+            yield hand_over()
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.python_threads()
+        now, size, first = None, 0, True
+        buckets, keys, occ, ids = Shared(), [], [], []
+        names = ["kind", "a", "b", "c", "i"]
+
+        def give(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal size, first, buckets
+            if keys:
+                out = buckets.add(np.concatenate(keys), last)
+                yield pa.record_batch([pa.array(np.zeros(len(out), np.int32)), *(pa.array(out[:, k]) for k in range(3)), pa.nulls(len(out), id_type)], names=names)
+            if occ:
+                rows_ = np.concatenate(occ)
+                _, back, count = np.unique(rows_[:, 0], return_inverse=True, return_counts=True)
+                many = (count[back] > 1) | (not (first and last))
+                yield pa.record_batch([pa.array(1 + many.astype(np.int32)), *(pa.array(rows_[:, k]) for k in range(3)), pa.concat_arrays(ids)], names=names)
+            for x in (keys, occ, ids):
+                x.clear()
+            size, first = 0, last
+            if last:
+                buckets = Shared()
+
+        id_type = None
         for batch in batches:
-            got: dict[int, str] = {}
-            for text in batch.column(0).to_pylist():
-                for _, n in lines_of(text, shingle):
-                    got[line_id(n)] = n
-            yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.string())], names=["id", "line"])
-
-    return docs.select(text_col).mapInArrow(scan, "id long, line string")
+            id_type = batch.column(3).type.value_type
+            part = np.asarray(batch.column(0))
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                if now is not None and part[lo] != now:
+                    yield from give(True)
+                now = part[lo]
+                some = batch.slice(lo, hi - lo)
+                got, seen = unpack(some.column(1).drop_null(), 2), unpack(some.column(2).drop_null(), 3)
+                size += len(got) + len(seen)
+                if len(got):
+                    keys.append(got)
+                if len(seen):
+                    occ.append(seen)
+                    ids.append(some.column(3).drop_null().flatten())
+                if size > HELD:
+                    yield from give(False)
+        if now is not None:
+            yield from give(True)
+
+    packed = docs.select("i", "d", "text").mapInArrow(scan, T.StructType().add("part", "integer").add("keys", "binary").add("occ", "binary").add("ids", T.ArrayType(kind)))
+    both = cut(dealt(packed, tasks).mapInArrow(reduce, T.StructType().add("kind", "integer").add("a", "long").add("b", "long").add("c", "long").add("i", kind)))
+    members = both.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("id"), F.col("c").alias("low"))
+    found = both.where("kind > 0").select("i", F.col("b").alias("d"), F.col("c").cast("int").alias("place"), F.col("a").alias("line"), (F.col("kind") == 2).alias("many"))
+    return members, found
+
+
+_FILTER = 25  # log2 of the bits of the filter over (row, place): 4 MB, whatever the corpus
+
+
+def _cells(d: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (tk.mix(d.view(np.uint64) ^ tk.mix(place.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - _FILTER)).astype(np.int64)
 
 
 class Candidates:
     """The texts of candidate lines, fetched once, and what is asked about them."""
 
-    def __init__(self, docs: DataFrame, text_col: str, shingle: int, similarity: float):
-        self.docs, self.text_col, self.shingle, self.similarity = docs, text_col, shingle, similarity
+    def __init__(self, docs: DataFrame, found: DataFrame, ids: DataFrame, *, shingle: int, bands: int, rows: int, similarity: float):
+        self.shingle, self.bands, self.rows, self.similarity = shingle, bands, rows, similarity
+        one = found.join(ids.select(F.col("id").alias("line")), "line", "left_semi").groupBy("line").agg(F.min(F.struct("d", "place")).alias("at")).select("at.d", "at.place")
 
-    def prepare(self, ids: DataFrame) -> None:
-        lines = line_texts(self.docs, self.text_col, self.shingle)
-        self.texts = cut(lines.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell = np.unique(_cells(np.array(batch.column(0)), np.array(batch.column(1))))
+                if len(cell):
+                    word, first = np.unique(cell >> 6, return_index=True)
+                    mask = np.bitwise_or.reduceat(np.uint64(1) << (cell & 63).astype(np.uint64), first)
+                    yield pa.record_batch([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-    def describe(self, ids: DataFrame) -> DataFrame:
-        shingle = self.shingle
+        bits = np.zeros(1 << (_FILTER - 6), dtype=np.uint64)
+        got = one.mapInArrow(words, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2 ** 19 rows at most
+        bits[np.asarray(got.column("word"))] = np.asarray(got.column("mask")).view(np.uint64)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tk.python_threads()
             for batch in batches:
-                for lo in range(0, batch.num_rows, 64):
-                    part = batch.slice(lo, 64)
-                    size, words = sketches(part.column(1).to_pylist(), shingle)
-                    yield pa.record_batch([part.column(0), pa.array(size), *(pa.array(words[:, k]) for k in range(4))], names=["id", "n", "s0", "s1", "s2", "s3"])
+                texts = batch.column(1).to_pylist()
+                count = np.array([(t or "").count("\n") + 1 for t in texts], dtype=np.int64)
+                row = np.repeat(np.arange(len(texts)), count)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                cell = _cells(np.asarray(batch.column(0))[row], place)
+                hit = np.flatnonzero(bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1))
+                got: dict[int, str] = {}
+                last, lines = -1, []
+                for r, p in zip(row[hit].tolist(), place[hit].tolist(), strict=True):
+                    if r != last:
+                        last, lines = r, (texts[r] or "").split("\n")
+                    n = normal(lines[p])
+                    if len(n) >= shingle:
+                        got[line_id(n)] = n
+                yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.string())], names=["id", "line"])
+
+        self.texts = cut(docs.select("d", "text").mapInArrow(scan, "id long, line string").dropDuplicates(["id"]))
 
-        return self.texts.join(ids, "id", "left_semi").select("id", "line").mapInArrow(scan, "id long, n long, s0 long, s1 long, s2 long, s3 long")
+    def describe(self, ids: DataFrame) -> DataFrame:
+        shingle, bands, rows = self.shingle, self.bands, self.rows
 
-    def possible(self) -> Column:
-        differ = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-        return (F.least("n_a", "n_b") >= F.lit(self.similarity) * F.greatest("n_a", "n_b")) & (differ <= SKETCH_BITS - MATCHES)
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tk.python_threads()
+            for batch in batches:
+                lo = 0
+                for lines in slices(batch.column(1).to_pylist()):
+                    h, row, n = distinct_hashes(*shingle_hashes(lines, shingle))
+                    s = parity_sketch(h, row, len(lines), WORDS)
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * bands, pa.int32()), pa.array(keys_of(lines, shingle, bands, rows).ravel()))
+                    yield pa.record_batch([batch.column(0).slice(lo, len(lines)), pa.array(n, pa.int64()), *(pa.array(s[:, k]) for k in range(WORDS)), keys], names=["id", "n", *SKETCH, "keys"])
+                    lo += len(lines)
+
+        return self.texts.join(ids, "id", "left_semi").select("id", "line").mapInArrow(scan, f"id long, n long, {', '.join(f'{s} long' for s in SKETCH)}, keys array<long>")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         shingle, similarity = self.shingle, self.similarity
@@ -231,54 +359,50 @@ class Candidates:
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def line_components(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def line_components(docs: DataFrame, members: DataFrame, found: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the lines that are near another line; other lines are their own component."""
-    members = line_bands(docs, text_col, shingle, bands, rows)
-    lines = Candidates(docs, text_col, shingle, similarity)
-    return bucket_links(members, lines.verify, prepare=lines.prepare, describe=lines.describe, possible=lines.possible())
+    lines = Candidates(docs, found, members.select("id").distinct(), shingle=shingle, bands=bands, rows=rows, similarity=similarity)
+    return bucket_links(members, lines.verify, lines.describe, similarity)
 
 
-def occurrences(docs: DataFrame, key: list[str], text_col: str) -> DataFrame:
-    """The key columns, place and line of every line but blank ones."""
-    inputs = docs.select(*key, F.col(text_col).alias("__text"))
-    at = len(key)
+#: In place of places: every line that isn't blank.
+ALL = -1
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, place, line = [], [], []
-            for r, text in enumerate(batch.column(at).to_pylist()):
-                for k, n in lines_of(text):
-                    row.append(r)
-                    place.append(k)
-                    line.append(line_id(n))
-            take = pa.array(row, pa.int64())
-            yield pa.record_batch([*(batch.column(c).take(take) for c in range(at)), pa.array(place, pa.int32()), pa.array(line, pa.int64())], names=[*key, "place", "line"])
-
-    return inputs.mapInArrow(scan, inputs.select(*key).schema.add("place", "integer").add("line", "long"))
 
-
-def line_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, digest, places, components): for each row that loses lines, where they are and their components.
-
-    Rows are named by id and a digest of id and text. An occurrence is kept if it is the component's
-    first by (id nulls last, digest, place).
-    """
-    here = docs.select(F.col(id_col).alias("__i"), F.xxhash64(id_col, text_col).alias("__d"), F.col(text_col).alias("text"))
-    roots = line_components(docs, text_col=text_col, **options)
-    found = occurrences(here, ["__i", "__d"], "text")
+def with_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> tuple[DataFrame, str]:
+    """docs with a column (of the name returned) of the places of the lines each row loses, null if none."""
+    digest, lost, nth = (free(n, docs.columns) for n in ("digest", "places", "nth"))
+    here = docs.withColumn(digest, F.xxhash64(id_col, text_col))
+    named = here.select(F.col(id_col).alias("i"), F.col(digest).alias("d"), F.col(text_col).alias("text"))
+    members, found = line_index(named, shingle=shingle, bands=bands, rows=rows)
+    roots = line_components(named, members, found, shingle=shingle, bands=bands, rows=rows, similarity=similarity)
     # most lines occur once and are near no other: only what is shared is held against its component's first
-    named = cut(found.join(roots.withColumnRenamed("id", "line"), "line", "left").select("__i", "__d", "place", F.coalesce("root", "line").alias("root")))
-    order = F.struct(F.col("__i").isNull().alias("n"), F.col("__i").alias("i"), F.col("__d").alias("d"), F.col("place").alias("p"))
-    first = named.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
-    lost = named.join(first, "root").where(~order.eqNullSafe(F.col("keep")))
-    return lost.groupBy("__i", "__d").agg(F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set("root")).alias("components")).hint("shuffle_hash")
-
-
-def _drop(text: str | None, places: list[int] | None) -> str | None:
+    shared = found.join(roots.withColumnRenamed("id", "line"), "line", "left").where("many or root is not null").select("i", "d", "place", F.coalesce("root", "line").alias("root"))
+    shared = cut(shared)
+    order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("d").alias("d"), F.col("place").alias("p"))
+    first = shared.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
+    gone = shared.join(first, "root").where(~order.eqNullSafe(F.col("keep")))
+    gone = gone.groupBy(F.col("i").alias("__i"), F.col("d").alias("__d")).agg(F.array_sort(F.collect_set("place")).alias("__places")).hint("shuffle_hash")
+    joined = here.join(gone, here[id_col].eqNullSafe(gone["__i"]) & (here[digest] == gone["__d"]), "left")
+    joined = joined.select(*[here[c] for c in here.columns], gone["__places"].alias(lost))
+    alike = shared.groupBy("i", "d", "place").count().where("count > 1").select(F.col("i").alias("__i"), F.col("d").alias("__d")).distinct()
+    if alike.take(1):  # rows that repeat id and text: all but one of each lose everything
+        same = joined[id_col].eqNullSafe(F.col("__i")) & (joined[digest] == F.col("__d"))
+        again = joined.join(alike, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(digest)))
+        again = again.withColumn(lost, F.when(F.col(nth) > 1, F.array(F.lit(ALL))).otherwise(F.col(lost))).drop(nth)
+        joined = joined.join(alike, same, "left_anti").unionByName(again)
+    return joined.drop(digest), lost
+
+
+def _drop(text: str | None, places: list[int] | None) -> tuple[str | None, list[int]]:
+    """The text without the lines at those places, and the places."""
     if text is None or not places:
-        return text
+        return text, []
+    lines = text.split("\n")
+    if places[0] == ALL:
+        places = [k for k, line in enumerate(lines) if line.strip()]
     gone = set(places)
-    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+    return "\n".join(line for k, line in enumerate(lines) if k not in gone), places
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
@@ -286,15 +410,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     drop_emptied: leave out documents of which no non-blank line stays (but keep those that had none).
     """
-    lost = line_losses(docs, id_col=id_col, text_col=text_col, **options).select("__i", F.col("__d").alias("__lost"), F.col("places").alias("__places")).hint("shuffle_hash")
-    here = docs.withColumn("__d", F.xxhash64(id_col, text_col))
-    joined = here.join(lost, here[id_col].eqNullSafe(lost["__i"]) & (here["__d"] == lost["__lost"]), "left").select(*docs.columns, "__places")
+    joined, lost = with_losses(docs, id_col=id_col, text_col=text_col, **options)
     at, names = docs.columns.index(text_col), docs.columns
+    joined = joined.select(*names, lost)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(len(names)).to_pylist()
-            texts = [_drop(t, p) for t, p in zip(batch.column(at).to_pylist(), places, strict=True)]
+            texts = [_drop(t, p)[0] for t, p in zip(batch.column(at).to_pylist(), places, strict=True)]
             out = pa.record_batch([pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names))], names=names)
             yield out.filter(pa.array([not p or bool(t.strip()) for t, p in zip(texts, places, strict=True)], pa.bool_())) if drop_emptied else out
 
@@ -302,19 +425,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, how many it loses, the digest of what stays, the shared lines' components."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = line_losses(docs)
-    here = docs.withColumn("__d", F.xxhash64("doc_id", "text"))
+    """Per document: how many lines it loses and where, the length and the digest of what stays."""
+    joined, lost = with_losses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2).to_pylist()
-            kept = [_drop(t, p) or "" for t, p in zip(batch.column(1).to_pylist(), places, strict=True)]
+            kept = [_drop(t, p) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            texts = [t or "" for t, _ in kept]
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(p or ()) for p in places], pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array([len(t) for t in kept], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in kept])],
+                [batch.column(0), pa.array([len(p) for _, p in kept], pa.int64()), pa.array([p or None for _, p in kept], pa.list_(pa.int32())), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string())],
                 names=["doc_id", "n_removed", "removed", "n_chars", "kept_sha256"],
             )
 
-    joined = here.join(lost, here["doc_id"].eqNullSafe(lost["__i"]) & (here["__d"] == lost["__d"]), "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(digest, "doc_id long, n_removed long, removed array<int>, n_chars long, kept_sha256 string")
+    return joined.select("doc_id", "text", lost).mapInArrow(digest, "doc_id long, n_removed long, removed array<int>, n_chars long, kept_sha256 string")

@@ -1,14 +1,17 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range-join, exact verification.
 
-A fingerprint of 64 bits is cut into `segments` equal segments; the counts of ones in them are a point
-of a small integer grid. Flipping a bit moves the point by one, so the Manhattan distance of two
-points is at most the Hamming distance of the fingerprints: a lower bound to search by. Of two points
-at Manhattan distance 2 or less, one grid point lies within distance 1 of both. So every distinct
-fingerprint enters its own cell and the cells one step away, candidates meet in an equi-join on the
-cell, and the Hamming distance of a pair that met decides. Nothing within the radius is missed.
+A fingerprint of 64 bits is cut into three segments; the counts of ones in them are a point of a small
+integer grid. Flipping a bit moves the point by one, so the Manhattan distance of two points is at most
+the Hamming distance of the fingerprints: a lower bound to search by. Of two points at Manhattan
+distance 2 or less, one grid point lies within distance 1 of both. Two flips also leave one segment as it
+is, so every distinct fingerprint enters, for each segment that might be that one, the segment's bits
+with its own cell of the other two counts and the cells one step away: 15 rows. Candidates meet in an
+equi-join on these, in one of them only, and the Hamming distance of a pair that met decides. Nothing
+within the radius is missed. A fingerprint has 2080 others within two bits at most, so what the
+join makes grows with the input.
 
 Copies of a text have one fingerprint and are grouped before the join, so a large group of exact
-copies is one row; see shared.bucket_links for large groups of near copies.
+copies is one row.
 
 Two bits fit near-exact copies only; an edit of one text in twenty moves five to ten. keep_one can so link,
 beside these, the texts of which at least a given share of five-word shingles is common. A radius that
@@ -32,10 +35,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
-from .linededup import band_keys, minima
-from .shared import bucket_links, cut, star_components, table
+from .linededup import band_keys, extremes
+from .shared import SKETCH, bucket_links, cut, distinct_hashes, free, parity_sketch, shared_buckets, star_components, table
+from .shared import WORDS as WORDS_OF_SKETCH
 
 WORDS, BANDS, ROWS = 5, 24, 5
 
@@ -92,51 +97,31 @@ def word_windows(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     return tk.window_hash(total, first, np.repeat(np.minimum(words, size), count)), limits, tk.window_hash(total, bounds[:-1], words).view(np.int64)
 
 
-def word_bands(docs: DataFrame, text_col: str) -> DataFrame:
-    """(bucket, id): the band keys of every text with words; id is the digest of its words."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk.python_threads()
-        for batch in batches:
-            for _, _, data, offsets in tk.chunks(batch.column(0)):
-                h, limits, ids = word_windows(data, offsets)
-                full = np.flatnonzero(np.diff(limits))
-                if len(full):
-                    keys = band_keys(minima(h, np.append(limits[full], limits[-1]), BANDS * ROWS, 17), BANDS, ROWS)
-                    yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(ids[full], BANDS))], names=["bucket", "id"])
-
-    return docs.select(text_col).mapInArrow(scan, "bucket long, id long")
-
-
-def word_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(id, n, text): the digest of each text's words and the number of its distinct shingles."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk.python_threads()
-        for batch in batches:
-            for lo, hi, data, offsets in tk.chunks(batch.column(0)):
-                h, limits, ids = word_windows(data, offsets)
-                n = [len(np.unique(h[a:b])) for a, b in zip(limits[:-1], limits[1:], strict=True)]
-                yield pa.record_batch([pa.array(ids), pa.array(n, pa.int64()), batch.column(0).slice(lo, hi - lo).cast(pa.string())], names=["id", "n", "text"])
-
-    return docs.select(text_col).mapInArrow(scan, "id long, n long, text string")
+def word_keys(h: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Band keys of the rows of window hashes (none of them empty)."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    return band_keys(extremes(x, limits[:-1], BANDS * ROWS, 17), BANDS, ROWS)
 
 
 class SharedWords:
     """The texts that share a band, fetched once, and the exact comparison of their five-word sets."""
 
-    def __init__(self, docs: DataFrame, text_col: str, similarity: float):
-        self.docs, self.text_col, self.similarity = docs, text_col, similarity
-
-    def prepare(self, ids: DataFrame) -> None:
-        here = word_texts(self.docs, self.text_col).join(ids, "id", "left_semi")
-        self.texts = cut(here.groupBy("id").agg(F.first("n").alias("n"), F.first("text").alias("text")))
+    def __init__(self, texts: DataFrame, similarity: float):
+        """texts(id, text): cut from their lineage."""
+        self.texts, self.similarity = texts, similarity
 
     def describe(self, ids: DataFrame) -> DataFrame:
-        return self.texts.join(ids, "id", "left_semi").select("id", "n")
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tk.python_threads()
+            for batch in batches:
+                for lo, hi, data, offsets in tk.chunks(batch.column(1)):
+                    h, limits, _ = word_windows(data, offsets)
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(word_keys(h, limits).ravel()))
+                    h, row, n = distinct_hashes(h, limits)
+                    s = parity_sketch(h, row, hi - lo, WORDS_OF_SKETCH)
+                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *(pa.array(s[:, k]) for k in range(WORDS_OF_SKETCH)), keys], names=["id", "n", *SKETCH, "keys"])
 
-    def enough(self, a: str, b: str) -> Column:
-        return F.least(a, b) >= F.lit(self.similarity) * F.greatest(a, b)
+        return self.texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(scan, f"id long, n long, {', '.join(f'{s} long' for s in SKETCH)}, keys array<long>")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         similarity = self.similarity
@@ -153,19 +138,24 @@ class SharedWords:
                         ok.append(shared >= similarity * (len(s) + len(t) - shared))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        a, b = (self.texts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("text").alias(f"t{k}")) for k in "ab")
-        both = pairs.join(a, "a").join(b, "b").where(self.enough("na", "nb"))
-        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+        a, b = (self.texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def word_links(docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """(id, root) of the texts, by the digests of their words, linked by a five-word Jaccard similarity."""
-    texts = SharedWords(docs, text_col, similarity)
-    return bucket_links(word_bands(docs, text_col), texts.verify, prepare=texts.prepare, describe=texts.describe, possible=texts.enough("n_a", "n_b"))
+def word_links(prints: DataFrame, docs: DataFrame, row: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, root) of the texts, by the digests of their words, linked by a five-word Jaccard similarity.
 
+    prints: row, words and keys of simhash(words=True) over docs, cut; row names docs' rows by a digest."""
+    members = shared_buckets(prints.select(F.col("words").alias("id"), "keys"))
+    near = prints.join(members.select(F.col("id").alias("words")).distinct(), "words", "left_semi").groupBy(F.col("words").alias("id")).agg(F.min(row).alias("one"))
+    texts = cut(docs.join(near, docs[row] == near["one"]).select(near["id"], docs[text_col].alias("text")).dropDuplicates(["id"]))
+    links = SharedWords(texts, similarity)
+    return bucket_links(members, links.verify, links.describe, similarity)
 
-def simhash(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", shingle: int = 3, seed: int = 42, name: str = "fp", words: str | None = None) -> DataFrame:
-    """The kept columns (all by default) and the fingerprint, a long of 64 bits; words names a column for a digest of the text's words."""
+
+def simhash(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", shingle: int = 3, seed: int = 42, name: str = "fp", words: bool = False) -> DataFrame:
+    """The kept columns (all by default) and the fingerprint, a long of 64 bits. words adds the columns words
+    (a digest of the text's words) and keys (the buckets of its five-word set; none for a text without words)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
     inputs = docs.select(*dict.fromkeys([*keep, text_col]))
     at = inputs.columns.index(text_col)
@@ -173,49 +163,75 @@ def simhash(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk.python_threads()
         for batch in batches:
-            got = [fingerprints(*shingle_hashes(data, offsets, shingle, seed)) for _, _, data, offsets in tk.chunks(batch.column(at))]
-            fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            more = []
-            if words:
-                ids = [word_windows(data, offsets)[2] for _, _, data, offsets in tk.chunks(batch.column(at))]
-                more = [pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64)), *more], names=names)
+            for lo, hi, data, offsets in tk.chunks(batch.column(at)):
+                columns = [*(batch.column(c).slice(lo, hi - lo) for c in keep), pa.array(fingerprints(*shingle_hashes(data, offsets, shingle, seed)).view(np.int64))]
+                if words:
+                    h, limits, ids = word_windows(data, offsets)
+                    count = np.diff(limits)
+                    full = np.flatnonzero(count)
+                    bounds = np.concatenate([[0], np.cumsum((count > 0) * BANDS)])
+                    keys = word_keys(h, np.append(limits[full], limits[-1])) if len(full) else np.zeros(0, np.int64)
+                    columns += [pa.array(ids), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel()))]
+                yield pa.record_batch(columns, names=names)
 
-    schema, names = inputs.select(*keep).schema.add(name, "long"), [*keep, name, *([words] if words else [])]
-    return inputs.mapInArrow(scan, schema.add(words, "long") if words else schema)
+    schema, names = inputs.select(*keep).schema.add(name, "long"), [*keep, name, *(["words", "keys"] if words else [])]
+    return inputs.mapInArrow(scan, schema.add("words", "long").add("keys", T.ArrayType(T.LongType())) if words else schema)
 
 
 def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def cells(points: DataFrame, segments: int, reach: int) -> DataFrame:
-    """(bucket, id) of each id's own cell and, for a reach of 2 bits or more, the cells one step away.
+_BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit and width
+
+
+def _bits(x: str, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(F.col(x), first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def grid_points(points: DataFrame) -> DataFrame:
+    """(block, value, x, y, id): for each block of the id, its bits, and the cells of the other two blocks'
+    popcounts: the id's own and those one step away."""
+    rows = []
+    for t, (first, width) in enumerate(_BLOCKS):
+        x, y = (F.bit_count(_bits("id", *_BLOCKS[u])).cast("int") for u in range(3) if u != t)
+        steps = [F.struct((x + F.lit(dx)).alias("x"), (y + F.lit(dy)).alias("y")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]
+        rows.append(F.struct(F.lit(t).alias("block"), _bits("id", first, width).cast("int").alias("value"), F.array(*steps).alias("cells")))
+    out = points.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.block", "r.value", F.explode("r.cells").alias("c"))
+    return out.select("block", "value", F.col("c.x").alias("x"), F.col("c.y").alias("y"), "id")
+
+
+def grid_links(points: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b), a > b: the pairs of points(id) that differ in at most `bits` bits, each once.
 
-    Cells are named by a 64-bit hash that is linear in the counts, so a step is one addition.
+    Two flipped bits leave one of three blocks as it is, and the popcounts of the other two blocks are within
+    Manhattan distance 2 of each other, so one cell is within a step of both points. A pair is made in the
+    first block that it shares, in one cell: halfway in a coordinate that differs by two, else a's x and b's y.
     """
-    width = 64 // segments
-    limit = 2**62 // (segments * width)  # no sum overflows
-    weights = np.random.default_rng(7).integers(-limit, limit, segments)
-    ones = [F.bit_count(F.shiftrightunsigned("id", width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))).cast("long") for k in range(segments)]
-    own = sum((c * F.lit(int(w)) for c, w in zip(ones[1:], weights[1:], strict=True)), ones[0] * F.lit(int(weights[0])))
-    steps = []
-    if reach >= 2:
-        for c, w in zip(ones, weights, strict=True):
-            steps += [F.when(c < width, F.lit(int(w))), F.when(c > 0, F.lit(-int(w)))]
-    return points.select("id", own.alias("own"), F.array_compact(F.array(F.lit(0).cast("long"), *steps)).alias("steps")).select("id", F.explode("steps").alias("step"), "own").select((F.col("own") + F.col("step")).alias("bucket"), "id")
-
-
-def components(prints: DataFrame, *, id_col: str = "doc_id", name: str = "fp", bits: int = 2, segments: int = 16, links: DataFrame | None = None) -> DataFrame:
+    grid = grid_points(points)
+    a, b = (grid.select("block", "value", "x", "y", F.col("id").alias(s)) for s in "ab")
+    met = a.join(b, ["block", "value", "x", "y"]).where((F.col("a") > F.col("b")) & (hamming("a", "b") <= bits))
+    first, cell = F.lit(False), F.lit(False)
+    for t in range(3):
+        earlier = F.lit(True)
+        for u in range(t):
+            earlier = earlier & (_bits("a", *_BLOCKS[u]) != _bits("b", *_BLOCKS[u]))
+        first = first | ((F.col("block") == t) & earlier)
+        (ax, bx), (ay, by) = (tuple(F.bit_count(_bits(s, *_BLOCKS[u])).cast("int") for s in "ab") for u in range(3) if u != t)
+        x = F.when(F.abs(ax - bx) == 2, F.least(ax, bx) + 1).otherwise(ax)
+        y = F.when(F.abs(ay - by) == 2, F.least(ay, by) + 1).otherwise(by)
+        cell = cell | ((F.col("block") == t) & (F.col("x") == x) & (F.col("y") == y))
+    return met.where(first & cell).select("a", "b")
+
+
+def components(prints: DataFrame, *, id_col: str = "doc_id", name: str = "fp", bits: int = 2, links: DataFrame | None = None) -> DataFrame:
     """prints with component_id, the smallest id reachable over links of at most `bits` differing bits, and
     component, the smallest fingerprint reachable (never null). prints is read twice: cut its lineage first. links(a, b): further links of fingerprints."""
     if not 0 <= bits <= 2:
-        raise ValueError("cells one step away serve up to 2 bits")
+        raise ValueError("three blocks and cells one step away serve up to 2 bits")
     points = prints.groupBy(F.col(name).alias("id")).agg(F.min(id_col).alias("first"))
-    buckets = cells(points.select("id"), segments, bits)
-    roots = bucket_links(buckets, lambda pairs: pairs.where(hamming("a", "b") <= bits), possible=hamming("id_a", "id_b") <= bits)
-    if links is not None:
-        roots = star_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")))
+    near = grid_links(points.select("id"), bits)
+    roots = star_components(near if links is None else near.union(links.select("a", "b")))
     named = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "root").select(F.col("id").alias("__id"), "component_id", F.col("root").alias("component"))
@@ -234,19 +250,21 @@ def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     repeated ids one by a digest of the row; of rows alike in all columns one). Components are found on
     ids, digests and fingerprints; the texts move once, in the join with the kept keys. similarity: texts
     of at least this five-word Jaccard similarity are linked too, and the texts that share a band move."""
-    here = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    prints = cut(simhash(here, keep=[id_col, "__row"], text_col=text_col, name="__fp", words=None if similarity is None else "__words"))
+    row, fp = free("row", docs.columns), free("fp", docs.columns)
+    here = docs.withColumn(row, F.xxhash64(*docs.columns))
+    prints = cut(simhash(here, keep=[id_col, row], text_col=text_col, name=fp, words=similarity is not None))
     links = None
     if similarity is not None:
-        fps = prints.groupBy("__words").agg(F.min("__fp").alias("f"))  # texts of equal words have one fingerprint
-        a, b = (fps.select(F.col("__words").alias(k), F.col("f").alias(side)) for k, side in (("id", "a"), ("root", "b")))
-        links = word_links(docs, text_col, similarity).join(a, "id").join(b, "root").select("a", "b")
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("d"))
-    kept = components(prints, id_col=id_col, name="__fp", links=links).groupBy("component").agg(F.min(key).alias("k"))
+        fps = prints.groupBy("words").agg(F.min(fp).alias("f"))  # texts of equal words have one fingerprint
+        a, b = (fps.select(F.col("words").alias(k), F.col("f").alias(side)) for k, side in (("id", "a"), ("root", "b")))
+        links = word_links(prints, here, row, text_col, similarity).join(a, "id").join(b, "root").select("a", "b")
+    prints = prints.select(F.col(id_col).alias("i"), F.col(row).alias("d"), F.col(fp).alias("fp"))
+    key = F.struct(F.col("i").isNull().alias("n"), "i", "d")
+    kept = components(prints, id_col="i", links=links).groupBy("component").agg(F.min(key).alias("k"))
     kept = kept.select(F.col("k.i").alias("__i"), F.col("k.d").alias("__d"))
-    out = here.join(kept, here[id_col].eqNullSafe(kept["__i"]) & (here["__row"] == kept["__d"]), "left_semi")
-    alike = prints.groupBy(id_col, "__row").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, "__row"]) if alike else out).drop("__row")
+    out = here.join(kept, here[id_col].eqNullSafe(kept["__i"]) & (here[row] == kept["__d"]), "left_semi")
+    alike = prints.groupBy("i", "d").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates([id_col, row]) if alike else out).drop(row)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

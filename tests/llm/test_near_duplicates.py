@@ -1,6 +1,5 @@
 """SimHash and line dedup against brute force; components; edge cases."""
 
-import math
 import random
 
 import numpy as np
@@ -74,28 +73,76 @@ def test_one_of_each_stays(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (7, 7), (None, 3), (500, 499), (499, 500)]
-    got = {r.id: r.root for r in shared.star_components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200, 202: 200, 499: 499, 500: 499}
+    chain += [(1000, 1001 + i) for i in range(300)]
+    df = spark.createDataFrame(chain, "a long, b long")
+    for alone in (0, 50, shared.ALONE):  # rounds to the end, rounds and a task, a task
+        got = {r.id: r.root for r in shared.star_components(df, alone=alone).collect()}
+        assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200, 202: 200, 499: 499, 500: 499} | {i: 1000 for i in range(1000, 1301)}
+    assert shared.star_components(df.limit(0)).count() == shared.star_components(df.limit(0), alone=-1).count() == 0
+
+
+def test_shared_buckets(spark):
+    rng = random.Random(2)
+    rows = [(i % 400, [rng.randrange(900) << 30 for _ in range(rng.randrange(4))] + [7 << 50] * (i % 3 == 0)) for i in range(700)]
+    want = {}
+    for i, keys in rows:
+        for k in keys:
+            want.setdefault(k, set()).add(i)
+    want = {(k, i) for k, ids in want.items() if len(ids) > 1 for i in ids}
+    held = shared.HELD
+    try:
+        for shared.HELD in (held, 3):
+            got = shared.shared_buckets(spark.createDataFrame(rows, "id long, keys array<long>")).collect()
+            assert {(r.bucket, r.id) for r in got} == want
+            assert all((r.bucket, r.low) in want for r in got) and len({(r.bucket, r.low) for r in got}) == len({k for k, _ in want})
+    finally:
+        shared.HELD = held
 
 
 def test_bucket_links_lose_no_link(spark):
     rng = random.Random(4)
-    values = [rng.randrange(1000) for _ in range(120)]
-    members = [(v // 50 + d, i) for i, v in enumerate(values) for d in (0, 1)]
-    df = spark.createDataFrame(members, "bucket long, id long")
-    value = spark.createDataFrame(list(enumerate(values)), "i long, v int")
+    sets = {}
+    for g in range(5):  # groups around a base, many pairs just under and over the threshold
+        base = rng.sample(range(1000 * g, 1000 * g + 700), 120)
+        for _ in range(24):
+            gone = set(rng.sample(base, rng.randrange(2, 16)))
+            sets[len(sets)] = frozenset([x for x in base if x not in gone] + [rng.randrange(10**6) for _ in range(rng.randrange(12))])
+    hashes = {x: int(h) for x in {x for s in sets.values() for x in s} for h in [np.uint64(xxhash.xxh64_intdigest(str(x)))]}
+    buckets = {i: sorted({min(sets[i]) // 1000 * 10 + d for d in (0, i % 2, i % 3)}) for i in sets}
+
+    def jaccard(a, b):
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    rows = []
+    for i, s in sets.items():
+        h = np.sort(np.array([hashes[x] for x in s], dtype=np.uint64))
+        rows.append((i, len(s), *(int(x) for x in shared.parity_sketch(h, np.zeros(len(h), np.int64), 1, shared.WORDS)[0]), buckets[i]))
+    described = spark.createDataFrame(rows, f"id long, n long, {', '.join(f'{s} long' for s in shared.SKETCH)}, keys array<long>")
+    compared = []
 
     def verify(pairs):
-        a, b = value.selectExpr("i as a", "v as va"), value.selectExpr("i as b", "v as vb")
-        return pairs.join(a, "a").join(b, "b").where("abs(va - vb) <= 3").select("a", "b")
+        got = [(r.a, r.b) for r in pairs.collect()]
+        compared.extend(got)
+        return spark.createDataFrame([p for p in got if jaccard(*p) >= 0.8], "a long, b long")
 
-    got = {r.id: r.root for r in shared.bucket_links(df, verify).collect()}
-    want = roots([(a, b) for a in range(120) for b in range(a) if abs(values[a] - values[b]) <= 3 and {values[a] // 50, values[a] // 50 + 1} & {values[b] // 50, values[b] // 50 + 1}], 120)
-    size = {g: want.count(g) for g in want}
+    members = shared.shared_buckets(described)
+    want = roots([(a, b) for a in sets for b in range(a) if jaccard(a, b) >= 0.8 and set(buckets[a]) & set(buckets[b])], len(sets))
     low = {}
     for i, g in enumerate(want):
         low.setdefault(g, i)
-    assert got == {i: low[g] for i, g in enumerate(want) if size[g] > 1}
+    for rounds in (0, 2):
+        got = {r.id: r.root for r in shared.bucket_links(members, verify, lambda ids: described.join(ids, "id", "left_semi"), 0.8, rounds=rounds).collect()}
+        assert got == {i: low[g] for i, g in enumerate(want) if want.count(g) > 1}
+    assert len(compared) < len(sets) ** 2 / 2
+
+
+def test_sketch_is_a_lower_bound():
+    rng = np.random.default_rng(1)
+    for n in (3, 200, 3000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 3, dtype=np.uint64)]))
+        s = [shared.parity_sketch(v, np.zeros(len(v), np.int64), 1, shared.WORDS).view(np.uint64) for v in (x, y)]
+        assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(x, y))
 
 
 def lines(n):
@@ -118,9 +165,10 @@ def test_line_dedup_against_brute_force(spark):
     first = {}
     for null, i, k, n in sorted(occ):
         first.setdefault(group[n], (null, i, k))
-    want = []
+    want, seen = [], set()
     for i, t, _ in rows:
-        gone = {k for k, n in linededup.lines_of(t) if first[group[n]] != (i is None, i or 0, k)}
+        gone = {k for k, n in linededup.lines_of(t) if first[group[n]] != (i is None, i or 0, k) or (i, t) in seen}
+        seen.add((i, t))
         want.append((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
     assert got == sorted(want, key=str)
     kept = linededup.dedup_lines(df, drop_emptied=True)
@@ -137,7 +185,7 @@ def test_pair_decisions_are_exact():
             w[rng.randrange(len(w))] = "zz"
         b = " ".join(w)
         x, y = (np.unique(linededup.shingle_hashes([s], 8)[0]) for s in (a, b))
-        assert linededup.similar(a, b, x, y, 0.8, 8) == (linededup.jaccard(a, b) >= 0.8)
+        assert linededup.similar(a, b, x, y, 0.8, 8) == (linededup.jaccard(a, b, 8) >= 0.8)
 
 
 def test_short_lines_lose_their_copies(spark):
@@ -180,7 +228,45 @@ def test_lines_with_a_replaced_word_are_near(spark):
     assert got == {0: texts[0], 1: ""}
 
 
-def test_sketches_lose_next_to_nothing():
-    n, p = linededup.SKETCH_BITS, (1 + linededup.SIMILARITY) / 2
-    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(linededup.MATCHES))
-    assert lost < 0.001 * (1 - linededup.SIMILARITY**linededup.ROWS) ** linededup.BANDS
+def test_recall_of_the_bands():
+    rng = random.Random(12)
+    met, pairs = [0, 0], [0, 0]
+    for _ in range(700):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)).strip()
+        b = a
+        while (s := linededup.jaccard(a, b)) >= 0.8:
+            k = rng.randrange(len(b))
+            last, b = b, b[:k] + rng.choice("ABCDEF") + b[k + 1 :]
+        a, b = a, last  # the last one at the threshold or above
+        s = linededup.jaccard(a, b)
+        x, y = linededup.keys_of([a, b], linededup.SHINGLE, linededup.BANDS, linededup.ROWS)
+        at = s >= 0.82
+        pairs[at] += 1
+        met[at] += bool(set(x) & set(y))
+    assert pairs[0] > 300 and met[0] / pairs[0] >= 0.985
+
+
+def test_slices_do_not_change_signatures():
+    rng = random.Random(13)
+    some = ["".join(rng.choice("abc é日") for _ in range(rng.choice([5, 6, 40, 300]))) for _ in range(60)]
+    one = [linededup.signatures([s], linededup.SHINGLE, 12)[:, 0] for s in some]
+    assert (linededup.signatures(some, linededup.SHINGLE, 12).T == np.array(one)).all()
+    for s in some:
+        got, bounds = linededup.shingle_hashes([s], linededup.SHINGLE)
+        assert len(np.unique(got)) == len({s[i : i + linededup.SHINGLE] for i in range(len(s) - linededup.SHINGLE + 1)}) and bounds[-1] == len(got)
+
+
+def test_repeated_rows_keep_one(spark):
+    text, other = "a line of some length that is repeated\nles.", "other words in this line\n"
+    rows = [(1, text, 1, 2), (1, text, 1, 2), (None, text, 3, 4), (None, text, 3, 4), (0, other, 5, 6), (0, other, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, places int, __digest int").repartition(3)
+    out = linededup.dedup_lines(df)
+    assert out.columns == df.columns
+    got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
+    assert got == sorted([(1, text), (1, ""), (None, ""), (None, ""), (0, other), (0, "")], key=str)
+
+
+def test_string_ids(spark):
+    rows = [("b", "the same line of text in both"), ("a", "the same line of text in both")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": rows[1][1], "b": ""}
