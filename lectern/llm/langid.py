@@ -10,7 +10,8 @@ with its vector; the score is that cosine, cut to 0..1.
 Letters are lower-cased; a run of anything else is one word boundary, a symbol of its own. Defined
 results: a text that is null or has no letter, or any text if nothing could be learnt, is `und` with
 score 0; rows of null language are never learnt from; of equal cosines the smallest language value
-wins; repeated rows count as often as they occur; extra columns stay if kept.
+wins; repeated rows count as often as they occur; texts of any length are read whole; extra columns stay
+if kept.
 """
 
 from __future__ import annotations
@@ -72,9 +73,9 @@ class Encoder:
         end = np.searchsorted(row, np.arange(len(rows)), side="right")
         tail = np.flatnonzero(some)
         tail = tail[points[end[tail] - 1] != _BOUNDARY] if len(tail) else tail
-        at = np.concatenate([first[some], end[tail]])
+        at = np.concatenate([end[tail], first[some]])  # where one text ends and the next begins, the end comes first
         points = np.insert(points, at, _BOUNDARY)
-        row = np.insert(row, at, np.concatenate([np.flatnonzero(some), tail]))
+        row = np.insert(row, at, np.concatenate([tail, np.flatnonzero(some)]))
         n = len(points) - self.order + 1
         if n <= 0:
             return np.zeros((0, self.order), np.int64), np.zeros((len(rows), 0), np.float32), has
