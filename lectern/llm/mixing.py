@@ -4,13 +4,16 @@ A classifier learnt from the labelled table gives every document posterior proba
 domains; the document's rate (how many times it is to be drawn, on average) is fitted so that the
 expected tokens of each domain meet the targets:
 
-    minimise |M^(1/2) (A r - T)|^2 over r >= 0,   A[d, i] = posterior[i, d] * tokens[i]
+    minimise |A r - T|^2 over r >= 0,   A[d, i] = posterior[i, d] * tokens[i]
 
-by projected gradient steps r <- max(0, r - W A' M (A r - T)), with W = diag(1 / tokens) and
-M = (A W A')^-1, for which a step of one is safe and, where no rate is held at zero, exact. A step needs
-the domains' expected totals only (one sum per domain, combined before the shuffle); rates are
-functions of the posteriors and of the steps so far, so nothing is gathered and no document is
-dropped: a rate may be 0, but its row stays.
+by scaled projected gradient steps r <- max(0, r - W A' M (A r - T)), with W = diag(1 / tokens) and M the
+inverse of A W A' over the documents that the step leaves above zero (two-metric projection): where none
+is held at zero, one step is exact, and otherwise the last steps converge as Newton's do. A step that doesn't lessen the
+residual is halved. A step needs a few sums of the size of the domains only, combined before the shuffle;
+rates are functions of the posteriors and of the steps so far, so nothing is gathered and no document is
+dropped: a rate may be 0, but its row stays. The fit ends when every domain's expected tokens are within `tolerance`
+of all tokens wanted; where the targets can't be met that closely (a domain that no document
+may be in, say) it ends when no step helps, and says so in a warning with the totals reached.
 
 The classifier is naive Bayes over hashed tokens: lower-cased words and the shapes of
 white-space-separated tokens (runs of lower-case letters, capitals and digits each as one sign), once
@@ -27,12 +30,14 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, free, table
 
 BUCKETS = 1 << 14
 #: Domains are the labelled pairs; shares of all tokens that each is to have.
@@ -107,27 +112,60 @@ def train(features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", dom
     return DomainModel(domains, list(n / n.sum()), np.log(rate) - np.log(everywhere))
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], *, steps: int = 60, tolerance: float = 1e-9) -> list[list[float]]:
-    """The steps' vectors y: the rate starts at 1 and goes to max(0, rate - posterior . y) for each of them.
+class Fit(NamedTuple):
+    """steps: the vectors y; the rate starts at 1 and goes to max(0, rate - posterior . y) for each of them.
+    wanted and reached: tokens by domain. met: whether they agree within the tolerance."""
 
-    rows: posterior array<double> and tokens. targets: tokens wanted of each domain.
-    """
+    steps: list[list[float]]
+    wanted: list[float]
+    reached: list[float]
+    met: bool
+
+
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], *, tolerance: float = 1e-9, most: int = 200) -> Fit:
+    """rows: posterior array<double> and tokens, cut. targets: tokens wanted of each domain. most: evaluations
+    (a job each) after which a fit that still improves is given up, with a warning; a dozen are usual."""
     k = len(domains)
     p = [F.get("posterior", F.lit(d)) for d in range(k)]
-    gram = rows.agg(*[F.sum(F.col("tokens") * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(k) for e in range(d, k)]).first()
-    g = np.array([[gram[f"g{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(k)] for d in range(k)])
     wanted = np.array([float(targets.get(d, 0.0)) for d in domains])
-    inverse = np.linalg.pinv(g, rcond=1e-12, hermitian=True)
-    ys: list[list[float]] = []
-    scale = max(1.0, float(np.abs(wanted).max()))
-    for _ in range(steps):
-        now = rows.select("tokens", "posterior", rate_of(ys, k).alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * p[d]).alias(f"t{d}") for d in range(k)]).first()
-        off = np.array([now[f"t{d}"] or 0.0 for d in range(k)]) - wanted
-        y = inverse @ off
-        if np.abs(off).max() <= tolerance * scale or np.abs(y).max() <= tolerance:
+    scale = max(1.0, float(np.abs(wanted).sum()))
+
+    def evaluate(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The expected tokens of the domains after steps, and A W A' over the documents of a rate above 0."""
+        now = rows.select("tokens", "posterior", rate_of(steps, k).alias("rate"))
+        free = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        sums = [F.sum(F.col("rate") * F.col("tokens") * p[d]).alias(f"t{d}") for d in range(k)]
+        sums += [F.sum(free * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(k) for e in range(d, k)]
+        got = now.agg(*sums).first()
+        return np.array([got[f"t{d}"] or 0.0 for d in range(k)]), np.array([[got[f"g{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(k)] for d in range(k)])
+
+    steps: list[list[float]] = []
+    reached, gram = evaluate(steps)
+    first, done = gram, 1
+    while np.abs(reached - wanted).max() > tolerance * scale and done < most:
+        off = reached - wanted
+        better = False
+        for g in (gram, first):  # over the free documents; should that not help, over all
+            y = np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ off
+            for _ in range(30):
+                if done >= most or np.abs(y).max() < 1e-15:
+                    break
+                now, free = evaluate([*steps, y.tolist()])
+                done += 1
+                if np.linalg.norm(now - wanted) < np.linalg.norm(off) * (1 - 1e-6):
+                    better = True
+                    break
+                y = y / 2
+            if better:
+                break
+        if not better:
             break
-        ys.append([float(v) for v in y])
-    return ys
+        steps.append(y.tolist())
+        reached, gram = now, free
+    met = bool(np.abs(reached - wanted).max() <= tolerance * scale)
+    if not met:
+        warnings.warn(f"mixing: targets {dict(zip(domains, wanted.tolist(), strict=True))} not met: {dict(zip(domains, reached.tolist(), strict=True))} after {done} evaluations", stacklevel=2)
+    return Fit(steps, wanted.tolist(), reached.tolist(), met)
 
 
 def rate_of(ys: list[list[float]], k: int) -> Column:
@@ -152,20 +190,21 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     ours = ("tokens", "posterior", "rate", "copies")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ours]
     targets = TARGETS if targets is None else targets
-    here = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    rows = cut(token_features(here, keep=[id_col, "__row"], text_col=text_col))
+    row, same = free("row", docs.columns), free("same", docs.columns)
+    here = docs.withColumn(row, F.xxhash64(*docs.columns))
+    rows = cut(token_features(here, keep=[id_col, row], text_col=text_col))
     model = train(rows, labels, id_col=id_col, domain=domain, smoothing=smoothing)
-    scored = cut(model.with_posterior(rows).select(id_col, "__row", "tokens", "posterior"))
+    scored = cut(model.with_posterior(rows).select(id_col, row, "tokens", "posterior"))
     total = scored.agg(F.sum("tokens")).first()[0] or 0
-    ys = fit_rates(scored, model.domains, {d: s * total for d, s in targets.items()}) if model.domains else []
+    ys = fit_rates(scored, model.domains, {d: s * total for d, s in targets.items()}).steps if model.domains else []
     rated = scored.withColumn("rate", rate_of(ys, len(model.domains)))
-    unit = F.shiftrightunsigned(F.xxhash64("__row", F.lit("copies")), 11) / F.lit(float(1 << 53))
+    unit = F.shiftrightunsigned(F.xxhash64(row, F.lit("copies")), 11) / F.lit(float(1 << 53))
     rated = rated.withColumn("copies", (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
     if keep == [id_col]:
         return rated.select(id_col, *ours)
     # rows alike in all columns have the same figures
-    rated = rated.select(F.col("__row").alias("__r"), *ours).dropDuplicates(["__r"])
-    return here.select(*keep, "__row").join(rated, F.col("__row") == F.col("__r"), "left").select(*keep, *ours)
+    rated = rated.select(F.col(row).alias(same), *ours).dropDuplicates([same])
+    return here.select(*keep, row).join(rated, F.col(row) == F.col(same), "left").select(*keep, *ours)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
