@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -122,47 +122,61 @@ def fingerprint(docs: DataFrame, *, keep: list[str] | None = None, text_col: str
     return inputs.mapInArrow(scan, inputs.select(*keep).schema.add("fingerprint", "string"))
 
 
-_CELLS = 4096
+SAMPLED = 32
+
+
+def _above(bounds: list[int], value: Column) -> Column:
+    """How many of the bounds (descending) are greater than value, by bisection; comparisons only, so no overflow."""
+    if not bounds:
+        return F.lit(0)
+    table_ = F.lit(bounds).cast("array<bigint>")
+    step, steps = 1, []
+    while step <= len(bounds):
+        steps.append(step)
+        step *= 2
+    return F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table_, at + s - 1) > value), at + s).otherwise(at))
 
 
 def by_neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, ghost, id, text) partitioned and sorted so that each document is followed by the next one
-    by descending id (nulls last; ties by text); the last one's next is the first.
+    by descending id (nulls last; ties by a digest of the text); the last one's next is the first.
 
-    Ranges of ids are the buckets; the first document of a bucket also enters the bucket before, as its
-    ghost. Texts move once. Ranges are balanced over _CELLS cells of equal width, whose counts are
-    all that reaches the driver.
+    Ranges of (id, digest) are the buckets; the first document of a bucket also enters the bucket before, as
+    its ghost. Texts move once. The bounds are quantiles of a sample of the ids, SAMPLED for each bucket, so ids may
+    lie as they will (the sample decides how even the buckets are, and nothing else); an id (or the lack of one) that takes more than a bucket's share of the rows is
+    split by the digest. Bounds and the buckets' first rows, of the number of buckets, are all that reaches the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // _CELLS))
-    cell = F.coalesce(F.floor((F.lit(high) - F.col("id")) / F.lit(width)).cast("int"), F.lit(_CELLS))
-    stats = {r.cell: (r.n, r.top) for r in rows.select(cell.alias("cell"), "id").groupBy("cell").agg(F.count("*").alias("n"), F.max("id").alias("top")).collect()}
-    total = sum(n for n, _ in stats.values())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    bucket_of, before, heads = [0] * (_CELLS + 1), 0, {}
-    for k in range(_CELLS + 1):
-        bucket_of[k] = before * buckets // max(1, total) if k < _CELLS else buckets  # rows without an id have their own
-        if k in stats:
-            n, top = stats[k]
-            heads.setdefault(bucket_of[k], top)
-            before += n
-    rows = rows.withColumn("bucket", F.get(F.lit(bucket_of), cell))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = rows.agg(F.count("id").alias("n"), F.count("*").alias("all")).first()
+    share = min(1.0, SAMPLED * buckets / max(1, got.n))
+    some = np.sort(np.asarray(rows.select("id").where("id is not null").sample(share, 17).toArrow().column("id"), dtype=np.int64))  # about SAMPLED * buckets ids
+    times: dict[int, int] = {}
+    for k in range(1, buckets if len(some) else 0):
+        q = int(some[k * len(some) // buckets])
+        times[q] = times.get(q, 0) + 1
+    bounds = sorted(times, reverse=True)
+    # cells: above the first bound, equal to it, between it and the second, ..., without an id; each of so many buckets
+    split = [1] + [n for b in bounds for n in (times[b], 1)] + [max(1, buckets * (got["all"] - got.n) // max(1, got["all"]))]
+    start = [sum(split[:c]) for c in range(len(split))]
+    over = _above(bounds, F.col("id"))
+    same = F.get(F.lit(bounds or [0]).cast("array<bigint>"), over) == F.col("id")
+    cell = F.when(F.col("id").isNull(), len(split) - 1).otherwise(2 * over + F.when(same, 1).otherwise(0))
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("cell", cell)
+    part = F.col("digest").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    many = F.get(F.lit(split), F.col("cell"))
+    rows = rows.withColumn("bucket", (F.get(F.lit(start), F.col("cell")) + F.when(many == 1, 0).otherwise(F.least(many - 1, F.floor(part * many)))).cast("int"))
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("digest").alias("d"))).alias("top")).collect()
+    heads = {r.bucket: (r.top.id, ~r.top.d) for r in heads}
     order = sorted(heads)
-    previous = {b: order[i - 1] for i, b in enumerate(order)}
-    no_id = rows.where("id is null").agg(F.min("text").alias("t")).select(F.xxhash64("t")).first()[0] if buckets in heads else None
-    pairs = [(previous[b], heads[b]) for b in order if b != buckets]
-    schema = "ghost int, top long"
-    is_head = spark.createDataFrame(pairs, schema) if pairs else spark.createDataFrame([], schema)  # a row for each bucket
-    ghosts = rows.join(F.broadcast(is_head), F.col("id") == F.col("top")).select(F.col("ghost").alias("bucket"), F.lit(1).alias("ghost"), "id", "text")
-    if no_id is not None:
-        last = rows.where(F.col("id").isNull() & (F.xxhash64("text") == F.lit(no_id))).limit(1)
-        ghosts = ghosts.union(last.select(F.lit(previous[buckets]).alias("bucket"), F.lit(1).alias("ghost"), "id", "text"))
-    both = rows.select("bucket", F.lit(0).alias("ghost"), "id", "text").union(ghosts)
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("id"), "text")
+    pairs = [(order[i - 1], b, *heads[b]) for i, b in enumerate(order)]
+    is_head = spark.createDataFrame(pairs, "before int, own int, top long, d long")  # a row for each bucket
+    ghosts = rows.join(F.broadcast(is_head), (F.col("bucket") == F.col("own")) & (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("top")))
+    ghosts = ghosts.select(F.col("before").alias("bucket"), F.lit(1).alias("ghost"), "id", "digest", "text").dropDuplicates(["bucket"])
+    both = rows.select("bucket", F.lit(0).alias("ghost"), "id", "digest", "text").union(ghosts)
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("id"), "digest").select("bucket", "ghost", "id", "text")
 
 
 def edited_text(text: str, following: str) -> str:
