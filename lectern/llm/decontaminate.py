@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import table
+from .shared import free, table
 
 _SEPARATORS = bytes(b if k and not 65 <= b <= 90 else (b + 32 if k else 32) for b, k in enumerate(tk.ALNUM))
 
@@ -267,10 +267,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingl
             continue
         some = docs.select(F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("digest")).mapInArrow(_scan(b, 0, ["digest"], True), f"digest string, n_words long, spans {_SPANS}, items array<string>").dropDuplicates(["digest"])
         hits = some if hits is None else hits.union(some)
-    merged = F.udf(_merge_spans, _SPANS)  # of a contaminated text's few spans, once for each such text
+    merged = F.udf(_merge_spans, _SPANS, useArrow=True)  # of a contaminated text's few spans, once for each such text
     hits = hits.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", merged("spans"))
-    counted = _word_counts(inputs.withColumn("__digest", F.sha2(F.col(text_col), 256)), [*keep, "__digest"], text_col, T.StructType(schema.fields[:-3]).add("__digest", "string").add("n_words", "long"))
-    out = counted.join(hits, counted["__digest"] == hits["digest"], "left")
+    digest, other = free("digest", inputs.columns), free("other", inputs.columns)
+    counted = _word_counts(inputs.withColumn(digest, F.sha2(F.col(text_col), 256)), [*keep, digest], text_col, T.StructType(schema.fields[:-3]).add(digest, "string").add("n_words", "long"))
+    out = counted.join(hits.withColumnRenamed("digest", other), F.col(digest) == F.col(other), "left")
     none = F.array().cast
     return out.select(*keep, "n_words", F.coalesce("spans", none(_SPANS)).alias("spans"), F.coalesce("items", none("array<string>")).alias("items"))
 

@@ -26,7 +26,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import free, table
 
 
 @dataclass(frozen=True)
@@ -170,17 +170,18 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "doc
     """docs with secrets: array<struct<start, rank, end>>, by start and then the rule's rank."""
     rules = BASE + MORE if rules is None else rules
     possible = candidates(docs, rules, id_col, text_col)
+    kinds, of = free("kinds", docs.columns), free("of", docs.columns)
     keep = [c for c in docs.columns if c != "secrets"]
     rows = docs.select(*keep)
     if possible is None:
-        rows = rows.withColumn("__kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn(kinds, F.array().cast("array<string>"))
     else:
-        possible = possible.select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
-        rows = rows.join(possible, rows[id_col].eqNullSafe(possible["__id"]), "left")
+        possible = possible.select(F.col("id").alias(of), F.col("kinds").alias(kinds))
+        rows = rows.join(possible, F.col(id_col).eqNullSafe(F.col(of)), "left")
     kind, none = "array<struct<start:int,rank:int,end:int>>", F.array()
     found = []
     for rank, rule in enumerate(rules):
-        may = F.array_contains("__kinds", rule.kind) if all(trigram_query(rule.pattern)) else F.lit(True)
+        may = F.array_contains(kinds, rule.kind) if all(trigram_query(rule.pattern)) else F.lit(True)
         may = F.coalesce(may & F.col(text_col).rlike(rule.pattern), F.lit(False))
         found.append(F.when(may, _spans(rule, rank, F.col(text_col))).otherwise(none.cast(kind)))
     return rows.select(*keep, F.array_sort(F.concat(*found)).alias("secrets"))

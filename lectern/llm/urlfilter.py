@@ -79,7 +79,7 @@ def judge(pages: DataFrame, entries: DataFrame, *, url_col: str = "url", per_blo
     n, lengths = entries.agg(F.count("*"), F.array_sort(F.collect_set("path_length"))).first()
     ours = ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c not in ours]
-    named = pages.withColumns({"__host": host_of(F.col(url_col)), "__path": path_of(F.col(url_col))}).select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"))
+    named = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not n:
         return named.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     small = n <= broadcast_entries

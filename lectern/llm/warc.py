@@ -29,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir, table
+from .shared import cut, free, shared_dir, table
 
 MAGIC = "WARC/1.1\r\n"
 LEAST, PER_FILE = 100, 2000
@@ -42,12 +42,13 @@ def payload_roles(pages: DataFrame, *, id_col: str = "page_id", payload_col: str
     Digests are grouped first, which combines before the shuffle, so a payload that many pages share
     reaches the join as one row.
     """
+    digest, one = free("digest", pages.columns), free("first", pages.columns)
     body = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.withColumns({"payload_digest": F.sha2(body, 256), "payload_bytes": F.octet_length(body).cast("long")})
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
-    shared = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("__digest"), F.col("first.i").alias("__first"))
-    joined = rows.join(shared, rows["payload_digest"] == shared["__digest"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("__first")), F.col("__first"))).drop("__digest", "__first")
+    shared = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias(digest), F.col("first.i").alias(one))
+    joined = rows.join(shared, F.col("payload_digest") == F.col(digest), "left")
+    return joined.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col(one)), F.col(one))).drop(digest, one)
 
 
 def record_text(rows: DataFrame, *, id_col: str, url_col: str, payload_col: str) -> DataFrame:
