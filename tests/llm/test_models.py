@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from lectern.llm import fingerprint as fg
 from lectern.llm import langid, mixing, quality
@@ -123,15 +124,40 @@ def test_fingerprints(spark):
     assert got[0] == got[1] == got[7] and got[2] == got[3] == got[4] == "0" * 256 and "0000" not in [got[0][i : i + 4] for i in range(0, 256, 4)]
 
 
+def digest(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_edited_texts_follow_the_order(spark, tmp_path):
     rows = [(9, "abcdefghi", 1), (7, "xy", 1), (5, None, 1), (5, "zzz", 1), (3, "é\U0001f600é" * 4, 1), (None, "last", 1), (None, "last of all", 1)] + [(-i, f"t{i} " * (i % 7), 1) for i in range(1, 60)]
     for n, data in (("all", rows), ("one", rows[:1]), ("none", [])):
         spark.createDataFrame(data, "doc_id long, text string, lang int").repartition(3).write.parquet(f"{tmp_path}/{n}/documents.parquet")
         got = fg.op9_fingerprint(spark, f"{tmp_path}/{n}").collect()
-        order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+        order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1] or "")))
         texts = [r[1] or "" for r in order]
         import hashlib
 
         want = [(r[0], len(t), hashlib.sha256(fg.edited_text(t, texts[(i + 1) % len(texts)]).encode()).hexdigest()) for i, (r, t) in enumerate(zip(order, texts, strict=True))]
         assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == sorted(want, key=str)
         assert all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in got)
+
+
+def test_neighbours_are_dealt_evenly(spark):
+    ids = {"an outlier": [*range(2000), 4 * 10**18], "the ends of the type": [*range(-(2**63), -(2**63) + 900), *range(2**63 - 900, 2**63)], "a hot id": [7] * 700 + list(range(1300)), "no id": [None] * 700 + list(range(1300))}
+    for name, some in ids.items():
+        rows = [(i, f"text {k}") for k, i in enumerate(some)]
+        df = fg.by_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text")
+        got = [r for part in df.rdd.glom().collect() for r in part]
+        sizes = Counter(r.bucket for r in got)
+        assert max(sizes.values()) < 3 * len(rows) / len(sizes) and len(sizes) >= 12, name
+        # buckets hold consecutive rows of the order, and each ends with the first row of the next one
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1])))
+        place = {r: k for k, r in enumerate(order)}
+        after = {}
+        for bucket in sizes:
+            here = [(r.id, r.text, r.ghost) for r in got if r.bucket == bucket]
+            assert [g for *_, g in here] == [0] * (len(here) - 1) + [1]
+            for a, b in zip(here, here[1:], strict=False):
+                after[a[:2]] = b[:2]
+        assert all(place[b] == (place[a] + 1) % len(order) for a, b in after.items()) and len(after) == len(order), name
