@@ -29,20 +29,27 @@ def slug(text: pd.Series) -> pd.Series:
     return text.map(slug_of)
 
 
-def normalized(text: str) -> tuple[str, list[int]]:
+_ONE_TO_ONE = {k: v for k, v in _SIGNS.items() if len(v) == 1} | {ord("Σ"): "σ"}  # the sign's lower form at a word's end depends on the context
+_SPACES = np.array([p for p in range(0x10000) if not 0xD800 <= p < 0xE000 and chr(p).isspace()], dtype=np.uint32)
+_SPECIAL = re.compile(f"[{SOFT_HYPHEN}{ELLIPSIS}]")
+
+
+def normalized(text: str) -> tuple[str, np.ndarray]:
     """The form in which quotes are compared, and for each of its characters the position it comes from."""
-    out: list[str] = []
-    at: list[int] = []
-    for i, sign in enumerate(text):
-        for c in _SIGNS.get(ord(sign), sign):
-            if c.isspace():
-                if not out or out[-1] == " ":
-                    continue
-                c = " "
-            for low in c.lower():  # some capitals become two characters
-                out.append(low)
-                at.append(i)
-    return "".join(out), at
+    plain = text.translate(_ONE_TO_ONE)
+    lower = plain.lower()
+    if len(lower) == len(text) and not _SPECIAL.search(text):
+        at = np.arange(len(text))
+    else:  # some signs become none, two or three
+        pieces = [_SIGNS.get(ord(c), c).lower() for c in plain]
+        at = np.repeat(np.arange(len(text)), [len(x) for x in pieces])
+        lower = "".join(pieces)
+    points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    space = np.isin(points, _SPACES)
+    points[space] = 32
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]
+    return points[keep].tobytes().decode("utf-32-le", "surrogatepass"), at[keep]
 
 
 @F.pandas_udf(T.StringType())
