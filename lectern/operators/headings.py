@@ -97,15 +97,15 @@ def resolve_links(links: DataFrame, files: DataFrame, anchors: DataFrame, book:
     return out.select(book, "seq", "href", F.coalesce("anchor_offset", "hit.file_offset").alias("offset"))
 
 
-def flatten_toc(entries: DataFrame, book: str = "book_id", depth: int = 32) -> DataFrame:
+def flatten_toc(entries: DataFrame, book: str = "book_id") -> DataFrame:
     """Entries (book, id, parent, seq, title) of a contents tree with level (roots 1) and path, in reading order by
-    path. A tree's levels are walked one join at a time, up to depth."""
+    path. A tree's levels are walked one join at a time, to the last; entries on no root (in a circle, or of a parent
+    that is missing) have no level and are left out."""
     level = entries.where("parent is null").withColumns({"level": F.lit(1), "path": F.array("seq")})
-    done = level
-    for k in range(2, depth + 1):
+    done, k = level, 1
+    while level.take(1):
+        k += 1
         up = level.select(F.col(book).alias("__b"), F.col("id").alias("__id"), F.col("path").alias("__path"))
         level = entries.join(up, (F.col(book) == F.col("__b")) & (F.col("parent") == F.col("__id"))).select(*entries.columns, F.lit(k).alias("level"), F.concat("__path", F.array("seq")).alias("path"))
-        if not level.take(1):
-            break
         done = done.union(level)
     return done

@@ -58,14 +58,29 @@ def heading_sections(headings: DataFrame, books: DataFrame, book: str, opening_t
     return own.union(before).union(whole).withColumns(kinds).withColumnRenamed("rank", "seq")
 
 
-def drop_matter(sections: DataFrame, texts: DataFrame, book: str) -> DataFrame:
-    """sections without front and back matter to skip and index-like ones; index-like tails cut off.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def slices(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The pieces of a text at spans (start, end)."""
+    return pd.Series([[(t or "")[s["start"] : s["end"]] for s in here] for t, here in zip(text, spans, strict=True)])
 
-    texts: book, text. The text is sliced where it is joined, and only measures leave the join.
-    """
-    rows = sections.join(texts, book).withColumn("body", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    kept = rows.where((F.col("kind") != "skip") & ~fx.is_index_or_notes(F.col("body")))
-    return kept.withColumn("end", (F.col("start") + fx.index_tail(F.col("body"))).cast("long")).drop("text", "body")
+
+def with_bodies(sections: DataFrame, texts: DataFrame, book: str) -> DataFrame:
+    """sections (book, start, end, ...) with their body. A book's text meets its spans in one row and is cut in one pass
+    over them, so it is neither copied nor counted through for each section. texts: book, text."""
+    rest = [c for c in sections.columns if c != book]
+    spans = sections.groupBy(book).agg(F.collect_list(F.struct(*rest)).alias("spans"))  # a book's sections
+    rows = spans.join(texts.select(book, "text"), book)
+    bare = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    rows = rows.select(book, "spans", slices("text", bare).alias("bodies"))
+    rows = rows.select(book, F.explode(F.arrays_zip("spans", "bodies")).alias("s"))
+    return rows.select(book, *[F.col(f"s.spans.{c}").alias(c) for c in rest], F.col("s.bodies").alias("body"))
+
+
+def drop_matter(sections: DataFrame, texts: DataFrame, book: str) -> DataFrame:
+    """sections without front and back matter to skip and index-like ones; index-like tails cut off. texts: book, text."""
+    rows = with_bodies(sections.where("kind <> 'skip'"), texts, book)
+    kept = rows.where(~fx.is_index_or_notes(F.col("body")))
+    return kept.withColumn("end", (F.col("start") + fx.index_tail(F.col("body"))).cast("long")).drop("body")
 
 
 def fold_sections(sections: DataFrame, book: str, least: int = 150) -> DataFrame:
@@ -129,10 +144,12 @@ def build_chunks(books: DataFrame, headings: DataFrame, *, book: str = "book_id"
     chosen = kept.join(count, book, "left_semi").join(level.withColumnRenamed("level", "__lv"), book).where("level <= __lv").drop("__lv")
     sections = drop_matter(heading_sections(chosen, ends, book), books.select(book, "text"), book)
     merged = merge_sections(fold_sections(sections, book), book, min_tokens, most)
-    body = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    rows = merged.join(books.select(book, "text"), book).withColumn("body", body)
-    rows = rows.withColumn("spans", F.when(parts_of(F.col("body"), most) > 1, split_spans("body", parts_of(F.col("body"), most))).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length("body").alias("end")))))
-    rows = rows.drop("text", "body").withColumn("m", F.size("spans")).select("*", F.posexplode("spans").alias("k", "span"))
+    length = (F.col("end") - F.col("start")).cast("int")
+    merged = merged.withColumn("parts", F.ceil(fx.tokens_of_length(length) / F.lit(float(most))).cast("int"))
+    whole = merged.where("parts <= 1").withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), length.alias("end"))))
+    large = with_bodies(merged.where("parts > 1"), books, book).withColumn("spans", split_spans("body", "parts")).drop("body")
+    rows = whole.unionByName(large).drop("parts")
+    rows = rows.withColumn("m", F.size("spans")).select("*", F.posexplode("spans").alias("k", "span"))
     title = F.concat(F.array_join("titles", " · "), F.when(F.col("m") > 1, F.concat(F.lit(" (part "), (F.col("k") + 1).cast("string"), F.lit("/"), F.col("m").cast("string"), F.lit(")"))).otherwise(""))
     start, end = F.col("start") + F.col("span.start"), F.col("start") + F.col("span.end")
     out = rows.select(book, title.alias("title"), "kind", start.alias("start"), end.alias("end"), fx.tokens_of_length(end - start).alias("tokens"), "titles")
