@@ -103,19 +103,24 @@ def page_markers(spark, d):
     return m.select("conv_id", F.length("marked").alias("n"), F.sha2("marked", 256).alias("digest"))
 
 
-@query(f"""with b as (select source, doc_id, off, off + length(text) as e from {_BOOK}), q as (select source, cast(k * 1777 as bigint) as point from (select distinct source from b), range(0, 80) r(k))
+def _points(b):
+    """A point every 1777 characters of a book, to its end."""
+    return b.groupBy("source").agg(F.max("end_off").alias("e")).select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("e"), F.lit(1777).cast("long"))).alias("point"))
+
+
+@query(f"""with b as (select source, doc_id, off, off + length(text) as e from {_BOOK}), q as (select source, unnest(range(cast(0 as bigint), cast(max(e) as bigint) + 1, 1777)) as point from b group by source)
 select q.source, q.point, b.doc_id from q left join b on q.source = b.source and q.point >= b.off and q.point < b.e""")
 def chunk_for_offset(spark, d):
     b = book_view(spark, d).select("source", "doc_id", "start_off", "end_off")
-    q = b.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79 * 1777).cast("long"), F.lit(1777).cast("long"))).alias("point"))
+    q = _points(b)
     return offsets.assign_interval(q, b, "source", "point", "start_off", "end_off").select("source", "point", "doc_id")
 
 
-@query(f"""with b as (select source, doc_id, off, off + length(text) as e from {_BOOK}), q as (select source, cast(k * 1777 as bigint) as point from (select distinct source from b), range(0, 80) r(k))
+@query(f"""with b as (select source, doc_id, off, off + length(text) as e from {_BOOK}), q as (select source, unnest(range(cast(0 as bigint), cast(max(e) as bigint) + 1, 1777)) as point from b group by source)
 select source, point from q where exists (select 1 from b where q.source = b.source and q.point >= b.off and q.point < b.e)""")
 def figures_inside(spark, d):
     b = book_view(spark, d).select("source", "start_off", "end_off")
-    q = b.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79 * 1777).cast("long"), F.lit(1777).cast("long"))).alias("point"))
+    q = _points(b)
     return offsets.assign_interval(q, b, "source", "point", "start_off", "end_off", "left_semi")
 
 
@@ -158,10 +163,25 @@ def index_like_docs(spark, d):
     return t(spark, d, "documents").select("doc_id", m["lines"].alias("lines"), m["total"].alias("total"), m["index_chars"].alias("index_chars"), fx.is_index_or_notes(F.col("text")).alias("flag"))
 
 
-@query()
+_INDEX = "Index\n" + "\n".join(f"word{i}, {i}, {i + 2}" for i in range(20))
+_TAILS = [(-1, "Real chapter text that ends here.\n\n" * 5 + _INDEX), (-2, _INDEX), (-3, "no index"), (-4, "Long line of the text itself, which is no entry of any index at all.\n" + _INDEX.replace("word7,", "a heading\nword7,"))]
+
+
+def _sql_skip(x: str) -> str:
+    whole, begin = fx._WHOLE.replace("'", "''"), fx._BEGINNING.replace("'", "''")
+    return f"(regexp_matches({x}, '{whole}') or regexp_matches({x}, '{begin}'))"
+
+
+@query(rf"""with docs as (select doc_id, text from documents union all select id, replace(v, '\n', chr(10)) from (values {_values([(i, v.replace(chr(10), chr(92) + 'n')) for i, v in _TAILS])}) g(id, v)),
+l as (select doc_id, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as k from docs),
+m as (select *, trim(raw) as line, sum(length(raw) + 1) over (partition by doc_id order by k) - length(raw) - 1 as pos from l),
+h as (select *, raw <> '' and (regexp_matches(line, '{_IDX}') or {_sql_skip('line')}) as hit from m),
+c as (select *, coalesce(sum(cast(hit as int)) over (partition by doc_id order by k desc rows between unbounded preceding and 1 preceding), 0) as seen from h),
+s as (select doc_id, coalesce(max(k) filter (not hit and raw <> '' and (length(line) >= 60 or seen = 0)), 0) as stop from c group by doc_id),
+r as (select c.doc_id, any_value(text) as text, count(*) filter (hit and k > stop) as run, min(pos) filter (hit and k > stop) as cut from c join s using (doc_id) group by c.doc_id)
+select doc_id, cast(case when run >= 8 and cut > 0 then cut else length(text) end as int) as cut, cast(length(text) as int) as length from r""")
 def trim_tail(spark, d):
-    index = "Index\n" + "\n".join(f"word{i}, {i}, {i + 2}" for i in range(20))
-    golden = rows(spark, [(-1, "Real chapter text that ends here.\n\n" * 5 + index), (-2, index), (-3, "no index")], "doc_id long, text string")
+    golden = rows(spark, _TAILS, "doc_id long, text string")
     docs = t(spark, d, "documents").select("doc_id", "text").union(golden)
     return docs.select("doc_id", fx.index_tail(F.col("text")).cast("int").alias("cut"), F.length("text").alias("length"))
 
@@ -182,7 +202,7 @@ def word_count(spark, d):
     return t(spark, d, "documents").select("doc_id", fx.count_words(F.col("text")).alias("words"))
 
 
-@query()
+@query(r"""select conv_id, cast(sum(len(list_filter(regexp_split_to_array(role, '\s+'), lambda x: x <> '')) + len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) as bigint) as words from conversations group by conv_id""")
 def nested_word_count(spark, d):
     c = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("turns"), F.count("*").alias("n"))
     return c.select("conv_id", fx.count_leaf_words(F.col("turns"), c.schema["turns"].dataType).cast("long").alias("words"))
@@ -191,7 +211,11 @@ def nested_word_count(spark, d):
 _THINK = [('<think>hmm</think>{"a":1}',), ("reasoning</think>{}",), ('<think>x</think>```json\n{"a": 2}\n```',), ('{"b":1}<think>never closed',), ('Here it is: {"c": [1, 2]} as asked',), ("no json at all",)]
 
 
-@query()
+_ANSWERS = [('{"a":1}', '{"a":1}'), ("{}", "{}"), ('```json\n{"a": 2}\n```', '{"a": 2}'), ('{"b":1}', '{"b":1}'), ('Here it is: {"c": [1, 2]} as asked', '{"c": [1, 2]}'), ("no json at all", None)]
+
+
+@query(f"""select cast(event_id as varchar) as id, '```json' || chr(10) || props || chr(10) || '```' as plain, props as json from events
+union all select 'golden', replace(plain, '\\n', chr(10)), json from (values {_values([(p.replace(chr(10), chr(92) + 'n'), j) for p, j in _ANSWERS])}) v(plain, json)""")
 def model_answers(spark, d):
     e = t(spark, d, "events").select("event_id", "props").where("event_id is not null")
     wrapped = F.concat(F.lit("<think>so {"), "event_id", F.lit("}</think>```json\n"), "props", F.lit("\n```"))
@@ -207,15 +231,24 @@ def loose_json(spark, d):
 _MD = ["<b>x</b> **y**", "snake_case_name and _em_", "*a* ** b ** 2*3*4", "plain & 'quoted' \"text\"", "**bold** _it_ *em*", "_ no _ * no *"]
 
 
-@query()
+_MD_HTML = [
+    "&lt;b&gt;x&lt;/b&gt; <strong>y</strong>", "snake_case_name and <em>em</em>", "<em>a</em> <strong> b </strong> 2*3*4", "plain &amp; &#39;quoted&#39; &#34;text&#34;",
+    "<strong>bold</strong> <em>it</em> <em>em</em>", "_ no _ * no *",
+]
+
+
+@query(f"select * from (values {_values(list(zip(_MD, _MD_HTML, strict=True)))}) v(text, html)")
 def inline_md(spark, d):
-    x = rows(spark, [(v,) for v in _MD], "text string").union(t(spark, d, "benchmark").select(F.concat(F.lit("**"), F.substring("text", 1, 20), F.lit("** & _end_"))))
-    return x.select("text", fx.inline_md(F.col("text")).alias("html"))
+    return rows(spark, [(v,) for v in _MD], "text string").select("text", fx.inline_md(F.col("text")).alias("html"))
 
 
-@query("select item_id, replace(substr(text, 1, 20), chr(10), ' ') || ' & end' as plain, '<strong>' || replace(substr(text, 1, 20), chr(10), ' ') || '</strong> &amp; <em>end</em>' as html from benchmark")
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&#34;')"
+
+
+@query(f"""with x as (select item_id, replace(replace(replace(text, chr(10), ' '), '*', ' '), '_', ' ') as v from benchmark)
+select item_id, v || ' & end' as plain, '<strong>' || {_ESCAPED.format('v')} || '</strong> &amp; <em>end</em>' as html from x""")
 def markdown_passages(spark, d):
-    x = F.concat(F.lit("**"), F.translate(F.substring("text", 1, 20), "\n", " "), F.lit("** & _end_"))
+    x = F.concat(F.lit("**"), F.translate("text", "\n*_", "   "), F.lit("** & _end_"))
     return t(spark, d, "benchmark").select("item_id", fx.strip_md(x).alias("plain"), fx.inline_md(x).alias("html"))
 
 
@@ -230,13 +263,20 @@ def chapter_refs(spark, d):
     return rows(spark, _REFS, "id int, ref string").select("id", F.explode(fx.chapter_numbers(F.col("ref"))).alias("n"))
 
 
-@query()
+_LINK = '<a class="ref" href="{}#ch-{}">Ch {}</a>'
+_TO2, _TO3, _TO1 = _LINK.format("", 2, 2), _LINK.format("Part%202.html", 3, 3), _LINK.format("", 1, 1)
+_LINKS = [(1, f"{_TO2} {_TO3}"), (2, '<span class="ref">Ch 9</span>'), (3, _TO2), (4, '<span class="ref">none</span>'), (5, _TO1), (6, '<span class="ref">Ch 7–5</span>')]
+
+
+@query(f"select cast(id as int) as id, html from (values {_values(_LINKS)}) v(id, html)")
 def chapter_links(spark, d):
     hrefs = F.create_map(F.lit(1), F.lit(""), F.lit(2), F.lit(""), F.lit(3), F.lit("Part%202.html"))
     return rows(spark, _REFS, "id int, ref string").select("id", fx.chapter_link(F.col("ref"), hrefs).alias("html"))
 
 
-@query()
+@query(r"""with x as (select trim(regexp_replace(regexp_extract(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), '<[^>]+>|\s+', ' ', 'g')) as title from pages union all select * from (values ('Éléments — d''analyse'), ('日本'), ('  A  b/c ')) v(title)),
+y as (select title, trim(left(trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-') as s from x)
+select title, case when s = '' then 'book-' || left(sha256(title), 8) else s end as slug from y""")
 def slug(spark, d):
     x = t(spark, d, "pages").select(html.first_heading(F.col("html")).alias("title")).union(rows(spark, [("Éléments — d'analyse",), ("日本",), ("  A  b/c ",)], "title string"))
     return x.select("title", fp.slug("title").alias("slug"))
@@ -274,14 +314,21 @@ def content_range(spark, d):
     return t(spark, d, "documents").select("doc_id", fx.content_start(text).alias("content_start"), fx.content_end(text).alias("content_end"))
 
 
-@query()
+_WORD, _GAPS = r"[\p{L}\p{M}\p{N}_]+", r"[^\p{L}\p{M}\p{N}_]*"
+
+
+@query(rf"""with w as (select doc_id, text, regexp_extract_all(text, '{_WORD}') as a from documents), p as (select doc_id, text, array_to_string(a[len(a) // 2 + 1:len(a) // 2 + 4], '{_GAPS}') as p from w)
+select doc_id, case when p = '' then 0 else cast(length(regexp_extract(text, '(?is)^(.*?)(?:' || p || ')', 1)) as int) end as at from p""")
 def title_location(spark, d):
+    """Where the first four words of the second half of a document stand in it, with other signs between them."""
     text = F.col("text")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.substring(text, 40, 60), F.lit(r"(?U)(\w+)"), F.lit(1)), 2, 4), "  - ")
-    return t(spark, d, "documents").select("doc_id", fx.locate_title(text, words).alias("at"))
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1))
+    x = t(spark, d, "documents").withColumn("w", words)
+    title = F.array_join(F.slice("w", F.floor(F.size("w") / 2).cast("int") + 1, F.lit(4)), "  - ")
+    return x.select("doc_id", fx.locate_title(text, title).alias("at"))
 
 
-@query()
+@query("""select cast(1 as int) as id, '{"a":"text","b":["one","two-three","x"]}' as v""")
 def tidy_strings(spark, d):
     x = rows(spark, [(1, {"a": "  , • text ", "b": ["- one", "two-three ", ";:x"]})], "id int, v struct<a:string,b:array<string>>")
     return x.select("id", F.to_json(fx.tidy(F.col("v"), x.schema["v"].dataType)).alias("v"))
@@ -353,7 +400,18 @@ def level_pick(spark, d):
     return sections.pick_level(h, "source", chunk_tokens=300)
 
 
-@query()
+_BREAKS = "list_filter(list_transform(range(1, len({0}) + 1), lambda i: list_sum(list_transform({0}[1:i], lambda x: length(x)))), lambda b: b > 0 and b < len_)"
+
+
+@query(rf"""with recursive d as (select doc_id, length(text) as len_, cast(ceil((length(text) * 5 // 18 + 1) / 600.0) as int) as n, regexp_extract_all(text, '(?s).*?\n\s*\n') as pp, regexp_extract_all(text, '(?s).*?(?:[.!?]["”’)]|[.!?])\s+') as sp from documents where length(text) * 5 // 18 + 1 > 600),
+p as (select doc_id, len_, n, case when len(pp) < 3 * n then {_BREAKS.format('sp')} else {_BREAKS.format('pp')} end as breaks from d),
+f as (select doc_id, 0 as k, cast(0 as bigint) as start, 0 as made, cast(null as bigint) as a, cast(null as bigint) as b from p union all
+  select doc_id, k + 1, case when ok then cut else start end, made + cast(ok as int), case when ok then start end, cut from (
+    select *, start < cut and cut < len_ as ok from (
+      select f.doc_id, f.k, f.start, f.made, p.len_, coalesce(list_sort(list_transform(list_filter(p.breaks, lambda x: x > f.start), lambda x: {{'d': abs(x - p.len_ * (f.k + 1) // p.n), 'x': x}}))[1].x, p.len_ * (f.k + 1) // p.n) as cut
+      from f join p using (doc_id) where f.k + 1 < p.n)))
+select doc_id, cast(made - 1 as int) as k, cast(a as int) as start, cast(b as int) as "end" from f where a is not null
+union all select doc_id, cast(made as int), cast(start as int), cast(len_ as int) from f join p using (doc_id) where f.k = p.n - 1""")
 def split_spans(spark, d):
     x = t(spark, d, "documents").where(fx.est_tokens(F.col("text")) > 600)
     s = F.posexplode(sections.split_spans("text", sections.parts_of(F.col("text"), 600)))
@@ -405,7 +463,10 @@ def budget_prefix(spark, d):
     return t(spark, d, "documents").select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept_lines", F.lit(0)).alias("kept_lines"))
 
 
-@query()
+@query("""with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
+u as (select *, sum(length(line) * 5 // 18 + 2) over (partition by doc_id order by k) as used from l),
+g as (select doc_id, any_value(text) as text, coalesce(sum(length(line) + 1) filter (used <= 400) - 1, 0) as n from u group by doc_id)
+select doc_id, cast(case when n = 0 then least(length(text), 1440) else n end as int) as n from g""")
 def budget_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.length(synthesis.paragraph_prefix(F.col("text"), 400, "\n")).alias("n"))
 
@@ -442,10 +503,12 @@ def quote_exact(spark, d):
 
 
 def _quotes(spark, d, edit=None):
-    """Benchmark passages as quotes of the documents that hold them."""
+    """Benchmark passages as quotes of the documents that hold them, and for every document one that nobody wrote."""
     found = quotes.contained(t(spark, d, "benchmark"), t(spark, d, "documents"), quote_id="item_id", source_id="doc_id")
     text = F.col("text") if edit is None else edit(F.col("text"))
-    return found.join(t(spark, d, "benchmark"), "item_id").select(F.col("doc_id").alias("book_id"), F.lit(1).alias("idx"), F.col("item_id").alias("seq"), text.alias("text"))
+    true = found.join(t(spark, d, "benchmark"), "item_id").select(F.col("doc_id").alias("book_id"), F.lit(1).alias("idx"), F.col("item_id").alias("seq"), text.alias("text"))
+    false = t(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.lit(1).alias("idx"), F.lit(-1).cast("long").alias("seq"), F.concat(F.lit("Nobody has written sentence "), "doc_id", F.lit(" of this whole book; judge yourself why.")).alias("text"))
+    return true.union(false)
 
 
 def _sources(spark, d):
@@ -462,15 +525,18 @@ def quote_fuzzy(spark, d):
     return quotes.verify_quotes(_quotes(spark, d, edit), chunk, page).select("book_id", "seq", "verdict", "found", "page", "score")
 
 
-@query(r"""with q as (select item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' "''.,;:') as k from benchmark), s as (select doc_id, lower(ltrim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents),
-m as (select distinct doc_id, k from q join s on contains(t, k) where length(k) >= 15), n as (select doc_id, count(*) as c from q join s on contains(t, k) where length(k) >= 15 group by doc_id)
-select doc_id as book_id, cast(c as bigint) as total from n""")
+_HELD = r"""with q as (select item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' "''.,;:') as k from benchmark), s as (select doc_id, lower(ltrim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents),
+n as (select doc_id, count(*) as c, count(distinct k) as kept from q join s on contains(t, k) where length(k) >= 15 group by doc_id),
+r as (select doc_id as book_id, 1 + coalesce(c, 0) as total, coalesce(kept, 0) as kept from documents left join n using (doc_id))"""
+
+
+@query(_HELD + " select book_id, total, kept, kept as exact, cast(0 as bigint) as fuzzy, cast(1 as int) as dropped from r")
 def quote_totals(spark, d):
     chunk, page = _sources(spark, d)
-    return quotes.quote_report(quotes.verify_quotes(_quotes(spark, d), chunk, page)).select("book_id", "total")
+    return quotes.quote_report(quotes.verify_quotes(_quotes(spark, d), chunk, page)).withColumn("dropped", F.size("dropped"))
 
 
-@query()
+@query(_HELD + " select cast(sum(total) as bigint) as total, cast(sum(kept) as bigint) as kept, cast(sum(kept) as bigint) as exact, cast(0 as bigint) as fuzzy, count(*) as dropped from r")
 def quote_report(spark, d):
     chunk, page = _sources(spark, d)
     r = quotes.quote_report(quotes.verify_quotes(_quotes(spark, d), chunk, page))
@@ -520,14 +586,23 @@ def font_mode(spark, d):
     return headings.body_size(x, "source")
 
 
-@query("""with s as (select source, count(*) as n, min(doc_id % 97) as x0, min(doc_id % 89) as y0, max(doc_id % 97 + 20) as x1, max(doc_id % 89 + 20) as y1 from documents where length(text) % 7 < 5 group by source)
+@query("""with s as (select source, count(*) as n, min(doc_id % 97) as x0, min(doc_id % 89) as y0, max(doc_id % 97 + 20) as x1, max(doc_id % 89 + 20) as y1 from documents group by source)
 select source as book_id, cast(0 as int) as page, cast(x0 as bigint) as x0, cast(y0 as bigint) as y0, cast(x1 as bigint) as x1, cast(y1 as bigint) as y1, (x1 - x0) * (y1 - y0) / 20000.0::double as share from s where n >= 25 and (x1 - x0) * (y1 - y0) / 20000.0 between 0.08 and 0.9""")
 def vector_figures(spark, d):
-    x = t(spark, d, "documents").where(F.length("text") % 7 < 5).select(F.col("source").alias("book_id"), F.lit(0).alias("page"), (F.col("doc_id") % 97).alias("x0"), (F.col("doc_id") % 89).alias("y0"), (F.col("doc_id") % 97 + 20).alias("x1"), (F.col("doc_id") % 89 + 20).alias("y1"), F.lit(20000.0).alias("page_area"))
+    x = t(spark, d, "documents").select(F.col("source").alias("book_id"), F.lit(0).alias("page"), (F.col("doc_id") % 97).alias("x0"), (F.col("doc_id") % 89).alias("y0"), (F.col("doc_id") % 97 + 20).alias("x1"), (F.col("doc_id") % 89 + 20).alias("y1"), F.lit(20000.0).alias("page_area"))
     return figures.vector_figures(x)
 
 
-@query()
+_PIXEL = "cast(trunc(px[{}] * 1000::float) as int)"
+_NIBBLES = " || ".join("printf('%x', " + " + ".join(f"{8 >> b} * cast({_PIXEL.format(9 * (n // 2) + 4 * (n % 2) + b + 1)} > {_PIXEL.format(9 * (n // 2) + 4 * (n % 2) + b + 2)} as int)" for b in range(4)) + ")" for n in range(16))
+
+
+@query(f"""with g as (select vec_id, label, list_concat(embedding[1:64], embedding[1:8]) as px from embeddings),
+x as (select vec_id % 10 as book_id, vec_id as seq, label as ref, vec_id % 2 as page, 200 + vec_id % 300 as w, 180 + vec_id % 400 as h, {_NIBBLES} as dhash from g),
+u as (select book_id, ref, count(distinct page) as uses from x group by all),
+f as (select x.*, row_number() over (partition by book_id, dhash order by seq) as k from x join u using (book_id, ref) where least(w, h) >= 160 and w * h >= 51200 and w / h between 0.2 and 5 and uses <= 2),
+b as (select *, row_number() over (partition by book_id order by w * h desc, seq) as big from f where k = 1)
+select book_id, seq, cast(row_number() over (partition by book_id order by seq) as int) as rank, dhash from b where big <= 30""")
 def figure_candidates(spark, d):
     e = t(spark, d, "embeddings")
     gray = F.transform(F.concat(F.slice("embedding", 1, 64), F.slice("embedding", 1, 8)), lambda v: (v * 1000).cast("int"))
@@ -535,7 +610,10 @@ def figure_candidates(spark, d):
     return figures.candidates(x).select("book_id", "seq", "rank", "dhash")
 
 
-@query()
+@query("""with x as (select source as book_id, doc_id as seq, length(text) as area, quality, case when lang = 'en' then 'chart' else 'photo' end as kind, doc_id % 10 + 1 as importance from documents join labels using (doc_id)),
+k as (select *, row_number() over (partition by book_id order by importance desc, area desc, seq) as k from x where quality = 1 and (kind = 'chart' or importance >= 8)),
+r as (select book_id, seq, cast(row_number() over (partition by book_id order by seq) as int) as rank from k where k <= 15)
+select book_id, seq, rank, 'fig_' || lpad(cast(rank as varchar), 2, '0') || '.png' as file from r""")
 def figure_selection(spark, d):
     x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
     x = x.select(F.col("source").alias("book_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("offset"), F.length("text").alias("area"), (F.col("quality") == 1).alias("meaningful"), F.when(F.col("lang") == "en", "chart").otherwise("photo").alias("kind"), (F.col("doc_id") % 10 + 1).alias("importance"))
@@ -546,7 +624,10 @@ def figure_selection(spark, d):
 # ---------------------------------------------------------------- structure
 
 
-@query()
+@query("""with c as (select source as book_id, case when doc_id % 2 = 0 then 'toc' when doc_id % 3 = 0 then 'heading' else 'spine' end as source from documents),
+n as (select book_id, source, count(*) as n from c where source <> 'toc' or book_id in ('src2', 'src4') group by all),
+r as (select *, row_number() over (partition by book_id order by case source when 'toc' then 1 when 'heading' then 2 else 3 end) as k from n where n >= case when source = 'spine' then 1 else 3 end)
+select book_id, source, n from r where k = 1""")
 def heading_cascade(spark, d):
     toc = t(spark, d, "documents").select(F.col("source").alias("book_id"), F.when(F.col("doc_id") % 2 == 0, "toc").when(F.col("doc_id") % 3 == 0, "heading").otherwise("spine").alias("source"), F.col("doc_id").alias("offset"))
     return headings.cascade(toc.where("source <> 'toc' or book_id in ('src2', 'src4')"), {"toc": 3, "heading": 3, "spine": 1}).groupBy("book_id", "source").agg(F.count("*").alias("n"))
@@ -560,7 +641,7 @@ def font_headings(spark, d):
     return headings.font_headings(lines, x.select(F.col("source").alias("book_id"), "doc_id").distinct())
 
 
-@query()
+@query("select cast(b as int) as book_id, cast(q as int) as seq, href, cast(o as int) as \"offset\" from (values (1, 1, 'b.xhtml#x', 150), (1, 2, 'text/b.xhtml', 100), (1, 3, 'other/c.xhtml#none', 200), (1, 5, 'text%2Fa.xhtml', 0)) v(b, q, href, o)")
 def link_resolution(spark, d):
     files = rows(spark, [(1, 0, "text/a.xhtml", 0), (1, 1, "text/b.xhtml", 100), (1, 2, "c.xhtml", 200)], "book_id int, pos int, name string, offset int")
     anchors = rows(spark, [(1, "text/b.xhtml", "x", 150)], "book_id int, name string, anchor string, offset int")
@@ -568,9 +649,9 @@ def link_resolution(spark, d):
     return headings.resolve_links(links, files, anchors)
 
 
-@query("""with recursive e as (select doc_id as id, case when doc_id < 5 then null else doc_id // 5 end as parent, doc_id as seq from documents where doc_id < 200), w as (select id, 1 as level from e where parent is null union all select e.id, w.level + 1 from e join w on e.parent = w.id) select id, cast(level as int) as level from w""")
+@query("""with recursive e as (select doc_id as id, case when doc_id < 5 then null else doc_id // 5 end as parent, doc_id as seq from documents), w as (select id, 1 as level from e where parent is null union all select e.id, w.level + 1 from e join w on e.parent = w.id) select id, cast(level as int) as level from w""")
 def toc_tree(spark, d):
-    e = t(spark, d, "documents").where("doc_id < 200").select(F.lit(1).alias("book_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") >= 5, F.floor(F.col("doc_id") / 5)).alias("parent"), F.col("doc_id").alias("seq"))
+    e = t(spark, d, "documents").select(F.lit(1).alias("book_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") >= 5, F.floor(F.col("doc_id") / 5)).alias("parent"), F.col("doc_id").alias("seq"))
     return headings.flatten_toc(e).select("id", "level")
 
 
@@ -604,12 +685,21 @@ def stub_notes(spark, d):
     )
 
 
-@query()
+_DIGESTS = """with l as (select source, doc_id, text, list_filter(string_split(text, chr(10)), lambda x: x <> '') as l from documents),
+n as (select source, doc_id, '[Ch ' || doc_id || '] Chapter ' || doc_id || ' (pp. 1–2)' as head, 'Core idea: ' || substr(text, 1, 80) as core, l, text from l),
+g as (select source, doc_id,
+  array_to_string(list_concat([head, core, 'Summary: ' || substr(text, 1, 300)], list_transform(l[1:6], lambda x: '- ' || x), ['Framework — F: ' || substr(text, 10, 50) || case when len(l[2:3]) > 0 then ' Steps: ' || array_to_string(l[2:3], '; ') else '' end],
+    list_transform(l[1:4], lambda x: 'Data: ' || substr(x, 1, 30) || ' (c)'), ['Story — S: ' || substr(text, 5, 60) || ' Lesson: lesson'], list_transform(l[1:5], lambda x: 'Takeaway: ' || x)), chr(10)) as "full",
+  array_to_string(list_concat([head, core], list_transform(l[1:4], lambda x: '- ' || x), ['Framework — F: ' || substr(text, 10, 50), 'Story — S: Lesson: lesson'], list_transform(l[1:3], lambda x: 'Takeaway: ' || x)), chr(10)) as compact from n)"""
+
+
+@query(_DIGESTS + ' select doc_id, "full", compact from g')
 def note_digest(spark, d):
     return stub_notes(spark, d).select(F.col("_index").alias("doc_id"), synthesis.note_digest(True).alias("full"), synthesis.note_digest(False).alias("compact"))
 
 
-@query()
+@query(_DIGESTS + """, z as (select source, sum(length("full")) + 2 * (count(*) - 1) as f, sum(length(compact)) + 2 * (count(*) - 1) as c from g group by source)
+select source as book_id, case when f * 5 // 18 + 1 <= 6000 then 'full' when c * 5 // 18 + 1 <= 6000 then 'compact' else 'condense' end as level, cast(case when f * 5 // 18 + 1 <= 6000 then f when c * 5 // 18 + 1 <= 6000 then c end as int) as n from z""")
 def fitting_digest(spark, d):
     return synthesis.fitting_digest(stub_notes(spark, d), "book_id", 6000).select("book_id", "level", F.length("text").alias("n"))
 
@@ -627,11 +717,20 @@ _GIVEN = [
 ]
 
 
-@query()
+_FINAL = (
+    '{"tldr": ["B is the corrected bullet text", "c"], "core_thesis": "new", "critique": {"weaknesses": ["w1", "w2: evidence is anecdotal only"]}, "frameworks": [{"name": "F", "what": "x", "how_to_apply": "y", "chapters": ["Ch 1"]}, '
+    '{"name": "G", "what": "A framework described in enough words to pass", "how_to_apply": "Apply it weekly to every decision", "chapters": ["Ch 2"]}]}'
+)
+
+
+@query(f"select item_id, {_values([(_FINAL,)])[1:-1]} as final, 'tldr replace, core_thesis replace, tldr remove, critique.weaknesses add, frameworks add' as applied from benchmark")
 def apply_fixes(spark, d):
+    """The same draft and audit for each row of a table; what is applied as field and action, in order."""
     fixes = [dict(zip(("field", "action", "index", "value"), f, strict=True), problem="p") for f in _GIVEN]
-    x = rows(spark, [(1, json.dumps(_DRAFT), json.dumps(fixes))], "book_id int, draft string, fixes string")
-    return x.select("book_id", synthesis.apply_fixes_json("draft", "fixes").alias("r")).select("book_id", "r.final", "r.applied")
+    x = t(spark, d, "benchmark").select("item_id", F.lit(json.dumps(_DRAFT)).alias("draft"), F.lit(json.dumps(fixes)).alias("fixes"))
+    done = F.from_json("r.applied", "array<struct<field:string,action:string>>")
+    applied = F.array_join(F.transform(done, lambda f: F.concat(f["field"], F.lit(" "), f["action"])), ", ")
+    return x.select("item_id", synthesis.apply_fixes_json("draft", "fixes").alias("r")).select("item_id", "r.final", applied.alias("applied"))
 
 
 @query()
@@ -701,14 +800,15 @@ def book_summary(spark, d):
     return pages.render_books(summaries(spark, d)).select("book_id", "part", "name", "words", "minutes", F.length("html").alias("n_chars"))
 
 
-@query()
+@query("select source as book_id, true as made, cast(null as varchar) as error from documents group by source")
 def book_epub(spark, d):
     return epub.epub_books(summaries(spark, d)).select("book_id", (F.length("content") > 1000).alias("made"), "error")
 
 
-@query("""with p as (select source, count(*) as docs, cast(sum(length(text) * 5 // 18 + 1) as bigint) as tokens from documents group by source) select source, docs, tokens, cast(tokens * 3 // 4 as bigint) as words from p""")
+@query(f"""with f as ({SQL['index_like_docs']}), p as (select source, count(*) as docs, cast(sum(length(text) * 5 // 18 + 1) as bigint) as tokens from documents join f using (doc_id) where not flag group by source)
+select source, docs, tokens, cast(tokens * 3 // 4 as bigint) as words from p""")
 def kept_tokens(spark, d):
-    """Token totals of the sections that are not index-like: none is, in these tables."""
+    """Token totals of the documents that are not index-like."""
     x = t(spark, d, "documents").where(~fx.is_index_or_notes(F.col("text")))
     g = x.groupBy("source").agg(F.count("*").alias("docs"), F.sum(fx.est_tokens(F.col("text"))).alias("tokens"))
     return g.withColumn("words", budget.words_of_tokens(F.col("tokens")))
