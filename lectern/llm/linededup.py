@@ -88,10 +88,12 @@ def shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     windows = ends - starts - shingle + 1
     bounds = np.concatenate([[0], np.cumsum(windows)])
     at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], windows)
-    h = np.zeros(len(at), dtype=np.uint64)
-    for k in range(shingle):
-        h = tk.mix(h * np.uint64(0x9E3779B97F4A7C15) + points[at + k].astype(np.uint64) + np.uint64(1))
-    return h, bounds
+    odd = np.random.default_rng(31).integers(1, 2**62, shingle, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
+    wide = points.astype(np.uint64)
+    h = wide * odd[0]
+    for k in range(1, shingle):
+        h[:-k] += wide[k:] * odd[k]
+    return tk.mix(h[at]), bounds
 
 
 def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
@@ -104,9 +106,10 @@ def similar(a: str, b: str, x: np.ndarray, y: np.ndarray, similarity: float, shi
     unless a single collision of 64-bit hashes could change the answer; then the strings do."""
     if min(len(x), len(y)) + 1 < similarity * max(len(x), len(y)):
         return False
-    at = np.searchsorted(x, y)
-    shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-    union = len(x) + len(y) - shared
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    union = len(both) - shared
     if shared - 1 >= similarity * (union + 1):
         return True
     if shared + 2 < similarity * (union - 2):
@@ -281,20 +284,18 @@ def line_index(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, r
 _FILTER = 25  # log2 of the bits of the filter over (row, place): 4 MB, whatever the corpus
 
 
-def _cells(d: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (tk.mix(d.view(np.uint64) ^ tk.mix(place.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - _FILTER)).astype(np.int64)
-
-
 class Candidates:
     """The texts of candidate lines, fetched once, and what is asked about them."""
 
     def __init__(self, docs: DataFrame, found: DataFrame, ids: DataFrame, *, shingle: int, bands: int, rows: int, similarity: float):
         self.shingle, self.bands, self.rows, self.similarity = shingle, bands, rows, similarity
-        one = found.join(ids.select(F.col("id").alias("line")), "line", "left_semi").groupBy("line").agg(F.min(F.struct("d", "place")).alias("at")).select("at.d", "at.place")
+        # of each line the occurrence of the least key; keys of one text's lines differ in the bits that count
+        key = F.col("d").bitwiseXOR(F.shiftleft(F.col("place").cast("long"), 64 - _FILTER))
+        one = found.groupBy("line").agg(F.min(key).alias("key")).join(ids.select(F.col("id").alias("line")), "line", "left_semi").select("key")
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell = np.unique(_cells(np.array(batch.column(0)), np.array(batch.column(1))))
+                cell = np.unique((np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - _FILTER)).astype(np.int64))
                 if len(cell):
                     word, first = np.unique(cell >> 6, return_index=True)
                     mask = np.bitwise_or.reduceat(np.uint64(1) << (cell & 63).astype(np.uint64), first)
@@ -311,7 +312,7 @@ class Candidates:
                 count = np.array([(t or "").count("\n") + 1 for t in texts], dtype=np.int64)
                 row = np.repeat(np.arange(len(texts)), count)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                cell = _cells(np.asarray(batch.column(0))[row], place)
+                cell = ((np.asarray(batch.column(0))[row].view(np.uint64) >> np.uint64(64 - _FILTER)).astype(np.int64) ^ place) & ((1 << _FILTER) - 1)
                 hit = np.flatnonzero(bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1))
                 got: dict[int, str] = {}
                 last, lines = -1, []
@@ -371,7 +372,7 @@ ALL = -1
 
 def with_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> tuple[DataFrame, str]:
     """docs with a column (of the name returned) of the places of the lines each row loses, null if none."""
-    digest, lost, nth = (free(n, docs.columns) for n in ("digest", "places", "nth"))
+    digest, lost, nth, i, d = (free(n, docs.columns) for n in ("digest", "places", "nth", "id", "of"))
     here = docs.withColumn(digest, F.xxhash64(id_col, text_col))
     named = here.select(F.col(id_col).alias("i"), F.col(digest).alias("d"), F.col(text_col).alias("text"))
     members, found = line_index(named, shingle=shingle, bands=bands, rows=rows)
@@ -382,15 +383,14 @@ def with_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("d").alias("d"), F.col("place").alias("p"))
     first = shared.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
     gone = shared.join(first, "root").where(~order.eqNullSafe(F.col("keep")))
-    gone = gone.groupBy(F.col("i").alias("__i"), F.col("d").alias("__d")).agg(F.array_sort(F.collect_set("place")).alias("__places")).hint("shuffle_hash")
-    joined = here.join(gone, here[id_col].eqNullSafe(gone["__i"]) & (here[digest] == gone["__d"]), "left")
-    joined = joined.select(*[here[c] for c in here.columns], gone["__places"].alias(lost))
-    alike = shared.groupBy("i", "d", "place").count().where("count > 1").select(F.col("i").alias("__i"), F.col("d").alias("__d")).distinct()
+    gone = gone.groupBy(F.col("i").alias(i), F.col("d").alias(d)).agg(F.array_sort(F.collect_set("place")).alias(lost)).hint("shuffle_hash")
+    mine = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d))
+    joined = here.join(gone, mine, "left").select(*here.columns, lost)
+    alike = shared.groupBy("i", "d", "place").count().where("count > 1").select(F.col("i").alias(i), F.col("d").alias(d)).distinct()
     if alike.take(1):  # rows that repeat id and text: all but one of each lose everything
-        same = joined[id_col].eqNullSafe(F.col("__i")) & (joined[digest] == F.col("__d"))
-        again = joined.join(alike, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(digest)))
+        again = joined.join(alike, mine, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(digest)))
         again = again.withColumn(lost, F.when(F.col(nth) > 1, F.array(F.lit(ALL))).otherwise(F.col(lost))).drop(nth)
-        joined = joined.join(alike, same, "left_anti").unionByName(again)
+        joined = joined.join(alike, mine, "left_anti").unionByName(again)
     return joined.drop(digest), lost
 
 

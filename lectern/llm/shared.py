@@ -267,15 +267,29 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], d
     size and the parity sketch of their sets and the buckets they are in, in an order.
 
     Connectivity is that of all verified pairs of all buckets, and nothing is left to chance after the
-    buckets. Each id is first held against its bucket's low; then, in buckets of three ids or more whose
+    buckets. Each id is first held against the least low of its buckets, then against those of its
+    other lows that it isn't yet connected to; then, in buckets of three ids or more whose
     members aren't all connected, against a few others of the bucket taken at random; and then all pairs
     are tried whose ends are not yet connected and whose sizes and sketches allow the similarity. Both
     bounds are exact, so a group of alike ids costs links in proportion to its size, and what is compared
     beyond that is close to the threshold. A pair that shares several buckets is made in the first of them.
     """
+    def tried(pairs: DataFrame) -> DataFrame:
+        return cut(verify(pairs.select("a", "b")).select("a", "b"))
+
+    def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        ra, rb = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
     pairs = members.where("id <> low").select(F.greatest("id", "low").alias("a"), F.least("id", "low").alias("b")).distinct()
-    links = cut(verify(pairs).select("a", "b"))
+    pairs = cut(pairs)
+    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    links = tried(first)
     roots = star_components(links, alone=alone)
+    more = tried(unconnected(pairs.join(first, ["a", "b"], "left_anti"), roots))
+    if more.take(1):
+        links = links.union(more)
+        roots = star_components(links, alone=alone)
 
     def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
         """rows with their roots, of the buckets that have several."""
@@ -294,7 +308,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], d
     for k in range(rounds):
         chosen = [F.min_by(F.struct(*info), F.xxhash64("id", F.lit(k * pivots + p))) for p in range(pivots)]
         other = left.groupBy("bucket").agg(F.array(*chosen).alias("p")).select("bucket", F.explode(F.array_distinct("p")).alias("p")).select("bucket", *[F.col(f"p.{c}").alias(f"{c}_b") for c in info])
-        new = cut(verify(left.select("bucket", *side["a"]).join(other, "bucket").where(near).select(*two).distinct()).select("a", "b"))
+        new = tried(left.select("bucket", *side["a"]).join(other, "bucket").where(near).select(*two).distinct())
         if not new.take(1):
             break
         links = links.union(new)
@@ -304,5 +318,5 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], d
     before = F.array_position("keys_a", F.col("bucket")).cast("int") - 1
     earlier = F.arrays_overlap(F.slice("keys_a", F.lit(1), before), F.slice("keys_b", F.lit(1), before))
     rest = a.join(b, "bucket").where((F.col("id_a") > F.col("id_b")) & near & ~earlier)
-    more = cut(verify(rest.select(*two)).select("a", "b"))
+    more = tried(rest.select(*two))
     return star_components(links.union(more), alone=alone) if more.take(1) else roots
