@@ -381,7 +381,8 @@ def with_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = found.join(roots.withColumnRenamed("id", "line"), "line", "left").where("many or root is not null").select("i", "d", "place", F.coalesce("root", "line").alias("root"))
     shared = cut(shared)
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("d").alias("d"), F.col("place").alias("p"))
-    first = shared.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
+    # a table of its own, so that the join's rows of a frequent line can be split
+    first = cut(shared.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep"))
     gone = shared.join(first, "root").where(~order.eqNullSafe(F.col("keep")))
     gone = gone.groupBy(F.col("i").alias(i), F.col("d").alias(d)).agg(F.array_sort(F.collect_set("place")).alias(lost)).hint("shuffle_hash")
     mine = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d))
