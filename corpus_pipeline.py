@@ -62,4 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:  # the table before has been read to the end
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
