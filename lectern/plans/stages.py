@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STEPS = ("chunk", "plan", "extract", "synthesize", "images", "render")
+log = logging.getLogger("lectern.stages")
+STEPS = ("chunk", "plan", "extract", "verify", "synthesize", "audit", "images", "render")
 
 
 class StageStore:
@@ -23,10 +25,7 @@ class StageStore:
 
     def read(self, step: str) -> DataFrame | None:
         """The step's table; None where it is missing or unreadable."""
-        try:
-            return self.spark.read.parquet(self.path(step))
-        except AnalysisException:
-            return None
+        return _readable(self.spark, self.path(step))
 
     def run(self, step: str, books: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The step's rows of the given books; only books without any are computed, and added to the table."""
@@ -48,23 +47,75 @@ class StageStore:
         return gone
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the folder of spark.checkpoint.dir; only where that is unset (one machine) into a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "sha256") -> DataFrame:
     """old with the rows of new in place of those of equal key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The version that the table's pointer names."""
+    _, where, fs = _hadoop(spark, f"{path}/CURRENT")
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def save(df: DataFrame, path: str) -> None:
-    """Replace a table as one step: written beside, then renamed, so readers see the old or the new one."""
+    """Replace a table as one step: a new version is written beside the others, and then the pointer to the current one
+    is renamed over the old pointer, which file systems do as one step. Readers see the old table or the new
+    one. The version before stays for those who are reading it; older ones go."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    aside, old, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{uuid.uuid4().hex}", f"{path}.old", path))
-    df.write.parquet(aside.toString())
-    fs = target.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(aside, target)
-    fs.delete(old, True)
+    old, new = _current(spark, path), f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{new}")
+    jvm, beside, fs = _hadoop(spark, f"{path}/.{new}")
+    out = fs.create(beside, True)
+    out.write(bytearray(new.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(beside), context.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")), options)
+    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (old, new):
+            fs.delete(status.getPath(), True)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that save wrote last; None if there is none, or none that can be read."""
+    version = _current(spark, path)
+    if version is None:
+        return None
+    return _readable(spark, f"{path}/{version}")
+
+
+def _readable(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path; None where it is missing or damaged (Spark says so by several kinds of error)."""
+    try:
+        df = spark.read.parquet(path)
+        df.limit(1).collect()
+        return df
+    except Exception as e:  # noqa: BLE001
+        log.info("%s is not readable: %s", path, str(e).split("\n")[0])
+        return None
 
 
 def base_name(path):

@@ -737,7 +737,7 @@ def apply_fixes(spark, d):
 def model_requests(spark, d):
     schema = json.dumps(synthesis.note_schema(600))
     x = t(spark, d, "documents").select("doc_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))).alias("messages"), F.lit(schema).alias("schema"), F.lit(None).cast("int").alias("max_tokens"))
-    return model.ask(x, model.StubClient, keys=["doc_id"])
+    return model.ask(x, model.StubClient, keys=["doc_id"]).drop("seconds")
 
 
 # ---------------------------------------------------------------- manifest and streaming

@@ -6,6 +6,7 @@ import html
 import json
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -151,7 +152,28 @@ def render_books(books: DataFrame) -> DataFrame:
     return books.select("book_id", "book").mapInPandas(run, f"book_id {kind}, part int, name string, html string, words int, minutes int")
 
 
-def write_pages(parts: DataFrame, folder: str) -> None:
-    """One HTML file for each row, by the tasks themselves, through Spark's own file system layer."""
+def write_pages(parts: DataFrame, folder: str) -> list[str]:
+    """One HTML file of its own name for each row of (name, html); the names written.
+
+    Tasks write the pages beside the folder's files, and each is then renamed to its name, over an older page of that
+    name. Other files of the folder stay.
+    """
+    spark = parts.sparkSession
+    aside = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
     named = parts.select(fx.safe_filename(F.regexp_replace("name", r"\.html$", "")).alias("name"), "html")
-    named.select("name", "html").write.mode("overwrite").partitionBy("name").text(folder)
+    named.write.partitionBy("name").option("lineSep", "\n").text(aside)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = []
+    for status in fs.listStatus(path(aside)):  # a folder for each page
+        kind, _, value = status.getPath().getName().partition("=")
+        if kind != "name":
+            continue
+        target = path(folder, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(value) + ".html")
+        page = next(f.getPath() for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-"))
+        fs.delete(target, False)
+        fs.rename(page, target)
+        written.append(target.getName())
+    fs.delete(path(aside), True)
+    return sorted(written)

@@ -10,12 +10,11 @@ import logging
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.stages import save
+from ..plans.stages import load, save
 from ..sources.books import list_books
 
 QUIET_SECONDS = 5
@@ -53,13 +52,12 @@ def watch(spark: SparkSession, folder: str, seen_path: str, checkpoint: str, pro
     schema = "path string, mtime timestamp, length long, handled boolean"
 
     def step(_: DataFrame, batch: int) -> None:
-        try:
-            seen = spark.createDataFrame(spark.read.parquet(seen_path).collect(), schema)  # a row for each file of the folder
-        except AnalysisException:  # no table yet
-            seen = spark.createDataFrame([], schema)
+        seen = load(spark, seen_path)
+        seen = spark.createDataFrame([], schema) if seen is None else seen
         listing = list_books(spark, folder).select("path", F.col("modificationTime").alias("mtime"), "length")
         todo, state = decide(listing, seen, F.lit(datetime.now(UTC)))  # one instant for both
-        todo = spark.createDataFrame(todo.collect(), "path string, mtime timestamp, length long")  # files of one folder
+        todo = todo.checkpoint() if spark.sparkContext.getCheckpointDir() else todo.persist()  # what is ready by this listing
+        todo.count()
         save(state, seen_path)
         if todo.take(1):
             try:

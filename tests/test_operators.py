@@ -1,8 +1,11 @@
 """Offsets, quotes, sections, structure, sources and rendering on small tables."""
 
+import http.server
 import io
 import json
+import threading
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pytest
@@ -11,9 +14,9 @@ from pyspark.sql import functions as F
 from lectern import queries
 from lectern.functions.python import normalized
 from lectern.operators import headings, offsets, quotes, sections
-from lectern.plans import model, stages, synthesis
+from lectern.plans import client, flow, model, stages, synthesis
 from lectern.render import epub, pages
-from lectern.sources import books, config, html
+from lectern.sources import books, config, html, pdf
 from lectern.streaming import watch
 
 TEXT = "Front line of the book here.\nThe first principle is that you must not fool yourself — and you are the easiest person to fool.\n\nSecond paragraph about “curly quotes” and things that matter.\n\n" + "Filler sentence number one. " * 50
@@ -213,7 +216,7 @@ def test_stages(spark, tmp_path):
     assert store.read("plan") is None
     stages.save(b, str(tmp_path / "t"))
     stages.save(b.limit(1), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert stages.load(spark, str(tmp_path / "t")).count() == 1
 
 
 @pytest.mark.parametrize(("title", "outputs", "saved", "done"), [(None, ["a.html"], True, True), (None, [], True, False), ("T", ["a.html"], True, False), ("T", ["a.html"], False, True), ("T", ["a.html", "a.epub"], True, True), ("T", ["a.epub"], True, False)])
@@ -297,3 +300,153 @@ def test_headings_and_requests_read_whole_texts(spark, tmp_path, monkeypatch):
     assert len(given) == len({r.seq for r in given}) == 50 * 30
     asked = queries.model_requests(spark, str(tmp_path)).collect()
     assert len(asked) == 50 and all(json.loads(r.messages)[0]["content"] == text for r in asked)
+
+
+def make_pdf(pages, compressed=True, encrypted=False):
+    """A PDF of lines on pages, with page labels i, ii, A-7, ..."""
+    objects = [(1, b"<< /Type /Catalog /Pages 2 0 R /PageLabels << /Nums [0 << /S /r >> 2 << /S /D /St 7 /P (A-) >>] >> >>")]
+    objects.append((2, f"<< /Type /Pages /Kids [{' '.join(f'{4 + 2 * i} 0 R' for i in range(len(pages)))}] /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> >>".encode()))
+    objects.append((3, b"<< /Type /Font /Subtype /Type1 /BaseFont /Times /Encoding /WinAnsiEncoding >>"))
+    for i, lines in enumerate(pages):
+        shown = " ".join("(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ") Tj T*" for x in lines if x) if lines else ""
+        body = f"BT /F1 12 Tf 14 TL 72 700 Td {shown} ET".encode("cp1252")
+        body = zlib.compress(body) if compressed else body
+        objects.append((4 + 2 * i, f"<< /Type /Page /Parent 2 0 R /Contents {5 + 2 * i} 0 R >>".encode()))
+        objects.append((5 + 2 * i, f"<< /Length {len(body)} {'/Filter /FlateDecode' if compressed else ''} >>\nstream\n".encode() + body + b"\nendstream"))
+    return b"%PDF-1.4\n" + b"".join(f"{k} 0 obj\n".encode() + o + b"\nendobj\n" for k, o in objects) + (b"trailer << /Root 1 0 R /Encrypt 9 0 R >>" if encrypted else b"trailer << /Root 1 0 R >>")
+
+
+def test_pdf_decoder():
+    for compressed in (True, False):
+        got = pdf.decode(make_pdf([["Hello (world) café", "second hy-", "phen line"], ["page two"], ["three"]], compressed))
+        assert [(r["page"], r["label"], r["text"]) for r in got] == [(0, "i", "Hello (world) café\nsecond hyphen line"), (1, "ii", "page two"), (2, "A-7", "three")]
+    with pytest.raises(model.LecternError):
+        pdf.decode(make_pdf([["x"]], encrypted=True))
+    with pytest.raises(model.LecternError):
+        pdf.decode(b"no pdf")
+    wide = pdf.Font(pdf.Document(b"%PDF-1.4\n7 0 obj\n<< /Length 83 >>\nstream\n1 beginbfrange <0001> <0003> <0041> endbfrange 1 beginbfchar <0005> <D83DDE00> endbfchar\nendstream\nendobj"), {"Subtype": "Type0", "ToUnicode": pdf.Ref(7)})
+    assert wide.text(b"\x00\x01\x00\x03\x00\x05") == "AC\U0001f600"
+
+
+def test_books_of_all_kinds(spark):
+    content = [["My Book 1", "Chapter One", "Words of the first chapter."], ["My Book 2", "More words."], ["My Book 3", "Chapter Two", "Words again."], ["My Book 4", "The end."]]
+    laid = make_pdf([]) and make_pdf([[p[0]] for p in content])
+    files = [("/in/A_tale.pdf", bytearray(make_pdf(content))), ("/in/b.epub", bytearray(epub.build_epub(sample_book()))), ("/in/c.txt", bytearray(b"x")), ("/in/d.pdf", bytearray(b"broken")), ("/in/e.pdf", bytearray(laid))]
+    found, marks, heads = books.load_books(spark.createDataFrame(files, "path string, content binary"))
+    got = {r.path: r for r in found.collect()}
+    assert set(got) == {f for f, _ in files} and got["/in/A_tale.pdf"].title == "A tale" and "Words again." in got["/in/A_tale.pdf"].text
+    assert got["/in/c.txt"].error and got["/in/d.pdf"].error and not got["/in/b.epub"].error
+    assert [r.label for r in marks.where("path = '/in/A_tale.pdf'").orderBy("offset").collect()] == ["i", "ii", "A-7", "A-8"] or marks.where("path = '/in/A_tale.pdf'").count() == 4
+    assert heads.where("path = '/in/b.epub'").count() >= 4
+    back = books.from_json(books.to_json(found), found.schema.simpleString()[7:-1].replace(":", " "))
+    assert sorted(map(str, back.collect())) == sorted(map(str, found.collect()))
+
+
+def test_figure_items(spark):
+    images = spark.createDataFrame([("a", 0, 5, "img/x.png"), ("a", 1, 9, "other/y.png"), ("a", 2, 9, "none.png")], "path string, seq int, offset int, href string")
+    items = spark.createDataFrame([("a", "img/x.png", "image/png", bytearray(b"1")), ("a", "p/x.png", "image/png", bytearray(b"2")), ("a", "p/y.png", "image/png", bytearray(b"3"))], "path string, href string, mime string, content binary")
+    assert {r.seq: r.item for r in books.figure_items(images, items).collect()} == {0: "img/x.png", 1: "p/y.png"}
+    files = spark.createDataFrame([("b.epub", bytearray(epub.build_epub(sample_book())))], "path string, content binary")
+    assert [(r.mime, bytes(r.content)) for r in books.epub_items(files).collect()] == [("image/png", b"hi")]
+
+
+def test_pages_keep_their_names(spark, tmp_path):
+    (tmp_path / "other.html").write_text("stays")
+    rows = [("A: b – Summary.html", "<p>one\ntwo</p>"), ("C = 100 % – Summary.html", "<p>x</p>")]
+    for _ in range(2):
+        written = pages.write_pages(spark.createDataFrame(rows, "name string, html string"), str(tmp_path))
+    assert written == ["A b – Summary.html", "C = 100 % – Summary.html"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == sorted([*written, "other.html"])
+    assert (tmp_path / written[0]).read_text().strip() == rows[0][1] and (tmp_path / "other.html").read_text() == "stays"
+
+
+def test_saved_tables_never_vanish(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert stages.load(spark, path) is None
+    for n in (5, 3, 4):
+        stages.save(spark.range(n), path)
+        assert stages.load(spark, path).count() == n
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_bytes(b"no parquet at all")
+    assert stages._readable(spark, str(tmp_path / "bad")) is None
+
+
+def test_http_client():
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            if self.path == "/busy":
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            for x in ('{"choices":[{"delta":{"reasoning_content":"hm"}}]}', '{"choices":[{"delta":{"content":"{\\"a\\": \\"é\\"}"},"finish_reason":"length"}]}', '{"choices":[],"usage":{"completion_tokens":7}}', "[DONE]"):
+                self.wfile.write(f"data: {x}\n\n".encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    got = client.HttpClient(f"{url}/v1", "m")([{"role": "user", "content": "q"}], model.record(a=model.string()), 90)
+    assert got == {"text": '{"a": "é"}', "finish": "length", "tokens": 7} and seen[0]["max_tokens"] == 90 and seen[0]["stream"]
+    with pytest.raises(model.ModelBusy):
+        client.HttpClient(f"{url}/busy", "m")([], {}, 1)
+    server.shutdown()
+
+
+def test_flow_from_files_to_pages(spark, tmp_path):
+    import lectern.__main__ as cli
+
+    (tmp_path / "input").mkdir()
+    text = [[f"Chapter {k}"] + [f"Sentence {j} of chapter {k} says a thing." for j in range(40)] for k in ("One", "Two", "Three")]
+    (tmp_path / "input" / "A tale.pdf").write_bytes(make_pdf(text))
+    (tmp_path / "input" / "broken.pdf").write_bytes(b"no")
+    (tmp_path / "config.json").write_text("{}")
+    assert cli.main(["preflight", "--config", str(tmp_path / "config.json")]) == 0
+    assert cli.main(["book", "--config", str(tmp_path / "config.json")]) == 1  # one of them is broken
+    assert cli.main(["book", "tale", "--config", str(tmp_path / "config.json")]) == 0
+    names = sorted(p.name for p in (tmp_path / "output").iterdir() if not p.name.startswith("."))
+    assert names == ["A tale – Summary.epub", "A tale – Summary.html"]
+    page = (tmp_path / "output" / names[1]).read_text()
+    assert "In short" in page and "Cheat sheet" in page and "0 of 1 quotes verified" in page or "quotes verified" in page
+    with (tmp_path / "output" / ".lock").open("w") as f:
+        cli.fcntl.flock(f, cli.fcntl.LOCK_EX)
+        assert cli.main(["book", "--config", str(tmp_path / "config.json")]) == 1
+    assert cli.main(["book", "no such", "--config", str(tmp_path / "config.json")]) == 1
+
+
+def test_flow_isolates_failures(spark, tmp_path):
+    class Picky(model.StubClient):
+        def __call__(self, messages, schema, most):
+            if "Bad book" in messages[1]["content"]:
+                return {"text": "no answer", "finish": "stop"}
+            return super().__call__(messages, schema, most)
+
+    text = "Chapter 1\n\n" + "A sentence of some words that is said here. " * 300
+    b = spark.createDataFrame([(1, "Good book", "", text, 0, len(text)), (2, "Bad book", "", text, 0, len(text))], "book_id long, title string, author string, text string, content_start int, content_end int")
+    heads = spark.createDataFrame([(1, 0, 1, "Chapter 1", 0), (2, 0, 1, "Chapter 1", 0)], "book_id long, offset long, level int, title string, seq long")
+    page = spark.createDataFrame([(1, 0, 0, "1")], "book_id long, offset long, seq long, label string")
+    run = flow.Flow(spark, str(tmp_path / "work"), Picky, context=7000)
+    run.ask = lambda requests, keys, order=None: model.ask(requests, Picky, keys=keys, pauses=(0, 0), order=order)
+    done, failed = run.run(b, heads, page)
+    assert [r.book_id for r in done.collect()] == [1] and [(r.book_id, r.step) for r in failed.collect()] == [(2, "plan")]
+    book = json.loads(done.first().book)
+    assert book["chapters"] and book["summary"]["tldr"] and book["report"]["total"] >= 1
+
+
+def test_screening(spark):
+    figures = spark.createDataFrame([(1, 0, "image/png", bytearray(b"x"), 'an "idea"'), (1, 1, "image/png", bytearray(b"y"), None)], "book_id int, seq int, mime string, content binary, idea string")
+    asked = flow.screen_requests(figures)
+    messages = json.loads(asked.first().messages)
+    assert messages[0]["content"] == flow.RULES and messages[1]["content"][1]["image_url"]["url"] == "data:image/png;base64,eA=="
+    got = flow.screened(model.ask(asked, model.StubClient, keys=["book_id", "seq"])).collect()
+    assert all(r.meaningful and r.kind == "diagram" for r in got) and len(got) == 2
+    none = spark.createDataFrame([(1, 0, None)], "book_id int, seq int, response string")
+    assert not flow.screened(none).first().meaningful
+    stats = flow.call_stats(model.ask(asked, model.StubClient, keys=["book_id", "seq"]), ["book_id"]).first()
+    assert (stats.calls, stats.first_try) == (2, 2)
