@@ -3,6 +3,7 @@
 import http.server
 import io
 import json
+import random
 import threading
 import zipfile
 import zlib
@@ -55,6 +56,25 @@ def test_alignment():
     assert quotes.align("longer than the source", "short", 90) is None
 
 
+def test_alignment_misses_no_window():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    for _ in range(120):
+        source = " ".join(rng.choice(words) for _ in range(60))
+        at = rng.randrange(len(source) - 60)
+        x = list(source[at : at + rng.randrange(20, 60)])
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(x))
+            x[k : k + 1] = rng.choice([[], ["q", x[k]], ["z"]]) if len(x) > 16 else x[k : k + 1]
+        quote = "".join(x)
+        masks, n = quotes.character_masks(quote), len(quote)
+        for cutoff in (80, 90):
+            windows = [source[a : a + n] for a in range(len(source))]
+            best = max(200 * quotes.lcs_length(masks, n, w) / (n + len(w)) for w in windows)
+            got = quotes.align(quote, source, cutoff)
+            assert (got is None) == (best < cutoff) and (got is None or got[0] >= best)
+
+
 def test_contained_is_a_full_search(spark):
     q = spark.createDataFrame([(1, "one two three four five six seven"), (2, "extraordinary circumstances"), (3, "absent words in any of them")], "item_id int, text string")
     s = spark.createDataFrame([(1, "say one  two THREE four five six seventeen"), (2, "the most extraordinary circumstances, indeed"), (3, None)], "doc_id int, text string")
