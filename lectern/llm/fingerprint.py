@@ -176,7 +176,7 @@ def by_neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ghosts = rows.join(F.broadcast(is_head), (F.col("bucket") == F.col("own")) & (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("top")))
     ghosts = ghosts.select(F.col("before").alias("bucket"), F.lit(1).alias("ghost"), "id", "digest", "text").dropDuplicates(["bucket"])
     both = rows.select("bucket", F.lit(0).alias("ghost"), "id", "digest", "text").union(ghosts)
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("id"), "digest").select("bucket", "ghost", "id", "text")
+    return both.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("id"), "digest").select("bucket", "ghost", "id", "text")
 
 
 def edited_text(text: str, following: str) -> str:
