@@ -17,16 +17,17 @@ _SIGNS = {ord(c): "'" for c in APOSTROPHES} | {ord(c): '"' for c in QUOTATION_MA
 
 
 def slug_of(text: str | None, limit: int = 60) -> str:
+    """Letters lose their accents; whatever else isn't a letter or digit of ASCII parts two words."""
     raw = text or ""
-    plain = unicodedata.normalize("NFKD", raw).encode("ascii", "ignore").decode()
+    plain = "".join(c for c in unicodedata.normalize("NFD", raw) if not unicodedata.category(c).startswith("M"))
     words = re.findall("[a-z0-9]+", plain.lower())
     return "-".join(words)[:limit].strip("-") or "book-" + hashlib.sha256(raw.encode()).hexdigest()[:8]
 
 
 @F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
-    """A file-system name of at most 60 letters, digits and hyphens; a hash if nothing is left."""
-    return text.map(slug_of)
+    """A file-system name of at most 60 letters, digits and hyphens; a hash if nothing is left; null for null."""
+    return text.map(slug_of, na_action="ignore")
 
 
 _ONE_TO_ONE = {k: v for k, v in _SIGNS.items() if len(v) == 1} | {ord("Σ"): "σ"}  # the sign's lower form at a word's end depends on the context
