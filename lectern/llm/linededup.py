@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import HELD, PENDING, SKETCH, WORDS, Shared, bucket_links, cut, dealt, distinct_hashes, free, pack, parity_sketch, table, tasks_and_parts, unpack
+from .shared import HELD, PENDING, SKETCH, WORDS, Shared, bucket_links, cut, dealt, distinct_hashes, free, pack, parity_sketch, release, table, tasks_and_parts, unpack
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 18, 6, 0.8
 _SLICE = 1 << 17  # code points whose signatures are computed at once
@@ -149,11 +149,12 @@ def signatures(lines: list[str], shingle: int, count: int) -> np.ndarray:
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """64-bit keys of the bands (a row for each line) of signatures that are count by lines."""
     out = np.empty((sig.shape[1], bands), dtype=np.uint64)
+    odd = np.random.default_rng(37).integers(1, 2**62, rows, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
     for b in range(bands):
-        h = np.full(sig.shape[1], b + 1, dtype=np.uint64)
+        h = np.full(sig.shape[1], (b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64)
         for r in range(rows):
-            h = tk.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[b * rows + r])
-        out[:, b] = h
+            h += sig[b * rows + r] * odd[r]
+        out[:, b] = tk.mix(h)
     return out.view(np.int64)
 
 
@@ -174,9 +175,10 @@ def keys_of(lines: list[str], shingle: int, bands: int, rows: int) -> np.ndarray
 
 
 def line_index(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """From docs(i, d, text), d a digest of i and text: the members (bucket, id, low) of buckets that lines
-    share, and the occurrences (i, d, place, line, many) of all lines but blank ones; many is false
-    only where a line occurs once. One scan, one exchange."""
+    """From docs(i, d, text), d a digest of i and text: the members (bucket, id, low, pair) of buckets that lines
+    share, pair true only for buckets of two ids, and the occurrences (i, d, place, line, many, lead) of all lines
+    but blank ones; many is false only where a line occurs once, lead is true for one occurrence of a line at
+    least. One scan, one exchange."""
     tasks, parts = tasks_and_parts(docs.sparkSession)
     kind = docs.schema["i"].dataType
 
@@ -240,12 +242,16 @@ def line_index(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, r
             nonlocal size, first, buckets
             if keys:
                 out = buckets.add(np.concatenate(keys), last)
-                yield pa.record_batch([pa.array(np.zeros(len(out), np.int32)), *(pa.array(out[:, k]) for k in range(3)), pa.nulls(len(out), id_type)], names=names)
+                _, back, count = np.unique(out[:, 0], return_inverse=True, return_counts=True)
+                pair = (count[back] == 2) & (first and last)
+                yield pa.record_batch([pa.array(-pair.astype(np.int32)), *(pa.array(out[:, k]) for k in range(3)), pa.nulls(len(out), id_type)], names=names)
             if occ:
                 rows_ = np.concatenate(occ)
-                _, back, count = np.unique(rows_[:, 0], return_inverse=True, return_counts=True)
+                _, at, back, count = np.unique(rows_[:, 0], return_index=True, return_inverse=True, return_counts=True)
                 many = (count[back] > 1) | (not (first and last))
-                yield pa.record_batch([pa.array(1 + many.astype(np.int32)), *(pa.array(rows_[:, k]) for k in range(3)), pa.concat_arrays(ids)], names=names)
+                kind = 1 + many.astype(np.int32)
+                kind[at] += 2
+                yield pa.record_batch([pa.array(kind), *(pa.array(rows_[:, k]) for k in range(3)), pa.concat_arrays(ids)], names=names)
             for x in (keys, occ, ids):
                 x.clear()
             size, first = 0, last
@@ -276,71 +282,77 @@ def line_index(docs: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, r
 
     packed = docs.select("i", "d", "text").mapInArrow(scan, T.StructType().add("part", "integer").add("keys", "binary").add("occ", "binary").add("ids", T.ArrayType(kind)))
     both = cut(dealt(packed, tasks).mapInArrow(reduce, T.StructType().add("kind", "integer").add("a", "long").add("b", "long").add("c", "long").add("i", kind)))
-    members = both.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("id"), F.col("c").alias("low"))
-    found = both.where("kind > 0").select("i", F.col("b").alias("d"), F.col("c").cast("int").alias("place"), F.col("a").alias("line"), (F.col("kind") == 2).alias("many"))
+    members = both.where("kind <= 0").select(F.col("a").alias("bucket"), F.col("b").alias("id"), F.col("c").alias("low"), (F.col("kind") < 0).alias("pair"))
+    found = both.where("kind > 0").select("i", F.col("b").alias("d"), F.col("c").cast("int").alias("place"), F.col("a").alias("line"), F.col("kind").isin(2, 4).alias("many"), (F.col("kind") > 2).alias("lead"))
     return members, found
 
 
-_FILTER = 25  # log2 of the bits of the filter over (row, place): 4 MB, whatever the corpus
+_FILTER = 25  # log2 of the bits of each of two filters, over (row, place) and over line ids: 4 MB, whatever the corpus
 
 
 class Candidates:
-    """The texts of candidate lines, fetched once, and what is asked about them."""
+    """The texts of candidate lines and their sets' sizes and sketches, from one more scan, and what is asked about them."""
 
-    def __init__(self, docs: DataFrame, found: DataFrame, ids: DataFrame, *, shingle: int, bands: int, rows: int, similarity: float):
-        self.shingle, self.bands, self.rows, self.similarity = shingle, bands, rows, similarity
-        # of each line the occurrence of the least key; keys of one text's lines differ in the bits that count
+    def __init__(self, docs: DataFrame, found: DataFrame, ids: DataFrame, *, shingle: int, similarity: float):
+        self.shingle, self.similarity = shingle, similarity
+        release(docs.sparkSession)  # the first exchange is the largest
+        # of each line one occurrence; keys of one text's lines differ in the bits that count
         key = F.col("d").bitwiseXOR(F.shiftleft(F.col("place").cast("long"), 64 - _FILTER))
-        one = found.groupBy("line").agg(F.min(key).alias("key")).join(ids.select(F.col("id").alias("line")), "line", "left_semi").select("key")
+        one = found.where("lead").select("line", key.alias("key")).join(ids.select(F.col("id").alias("line")), "line", "left_semi").select("key", "line")
+        half = 1 << (_FILTER - 6)
+
+        def cells(x: np.ndarray) -> np.ndarray:
+            return (x.view(np.uint64) >> np.uint64(64 - _FILTER)).astype(np.int64)
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell = np.unique((np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - _FILTER)).astype(np.int64))
-                if len(cell):
+                if batch.num_rows:
+                    cell = np.unique(np.concatenate([cells(np.asarray(batch.column(k))) + (k << _FILTER) for k in range(2)]))
                     word, first = np.unique(cell >> 6, return_index=True)
                     mask = np.bitwise_or.reduceat(np.uint64(1) << (cell & 63).astype(np.uint64), first)
                     yield pa.record_batch([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-        bits = np.zeros(1 << (_FILTER - 6), dtype=np.uint64)
-        got = one.mapInArrow(words, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2 ** 19 rows at most
+        bits = np.zeros(2 * half, dtype=np.uint64)
+        got = one.mapInArrow(words, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2 ** 20 rows at most
         bits[np.asarray(got.column("word"))] = np.asarray(got.column("mask")).view(np.uint64)
 
+        def is_set(cell: np.ndarray, base: int) -> np.ndarray:
+            return (bits[base + (cell >> 6)] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tk.python_threads()
+            seen: set[int] = set()
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 count = np.array([(t or "").count("\n") + 1 for t in texts], dtype=np.int64)
                 row = np.repeat(np.arange(len(texts)), count)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                cell = ((np.asarray(batch.column(0))[row].view(np.uint64) >> np.uint64(64 - _FILTER)).astype(np.int64) ^ place) & ((1 << _FILTER) - 1)
-                hit = np.flatnonzero(bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1))
+                hit = np.flatnonzero(is_set((cells(np.asarray(batch.column(0)))[row] ^ place) & ((1 << _FILTER) - 1), 0))
                 got: dict[int, str] = {}
                 last, lines = -1, []
                 for r, p in zip(row[hit].tolist(), place[hit].tolist(), strict=True):
                     if r != last:
                         last, lines = r, (texts[r] or "").split("\n")
                     n = normal(lines[p])
-                    if len(n) >= shingle:
-                        got[line_id(n)] = n
-                yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.string())], names=["id", "line"])
+                    if len(n) >= shingle and (i := line_id(n)) not in seen:
+                        if len(seen) > 1 << 18:  # forgetting costs repeated rows only
+                            seen.clear()
+                        seen.add(i)
+                        got[i] = n
+                ids = np.fromiter(got, dtype=np.int64, count=len(got))
+                meant = is_set(cells(ids), half)
+                ids, chosen = ids[meant], [n for n, m in zip(got.values(), meant.tolist(), strict=True) if m]
+                lo = 0
+                for some in slices(chosen):
+                    h, of, n = distinct_hashes(*shingle_hashes(some, shingle))
+                    s = parity_sketch(h, of, len(some), WORDS)
+                    yield pa.record_batch([pa.array(ids[lo : lo + len(some)]), pa.array(some, pa.string()), pa.array(n, pa.int64()), *(pa.array(s[:, k]) for k in range(WORDS))], names=["id", "line", "n", *SKETCH])
+                    lo += len(some)
 
-        self.texts = cut(docs.select("d", "text").mapInArrow(scan, "id long, line string").dropDuplicates(["id"]))
+        self.texts = cut(docs.select("d", "text").mapInArrow(scan, f"id long, line string, n long, {', '.join(f'{s} long' for s in SKETCH)}").repartition("id").dropDuplicates(["id"]))
 
     def describe(self, ids: DataFrame) -> DataFrame:
-        shingle, bands, rows = self.shingle, self.bands, self.rows
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tk.python_threads()
-            for batch in batches:
-                lo = 0
-                for lines in slices(batch.column(1).to_pylist()):
-                    h, row, n = distinct_hashes(*shingle_hashes(lines, shingle))
-                    s = parity_sketch(h, row, len(lines), WORDS)
-                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * bands, pa.int32()), pa.array(keys_of(lines, shingle, bands, rows).ravel()))
-                    yield pa.record_batch([batch.column(0).slice(lo, len(lines)), pa.array(n, pa.int64()), *(pa.array(s[:, k]) for k in range(WORDS)), keys], names=["id", "n", *SKETCH, "keys"])
-                    lo += len(lines)
-
-        return self.texts.join(ids, "id", "left_semi").select("id", "line").mapInArrow(scan, f"id long, n long, {', '.join(f'{s} long' for s in SKETCH)}, keys array<long>")
+        return self.texts.select("id", "n", *SKETCH)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         shingle, similarity = self.shingle, self.similarity
@@ -351,8 +363,9 @@ class Candidates:
                 for lo in range(0, batch.num_rows, 128):  # lines of a slice are hashed together, each once
                     i, j, x, y = (c.to_pylist() for c in batch.slice(lo, 128).columns)
                     lines = dict(zip(i, x, strict=True)) | dict(zip(j, y, strict=True))
-                    h, bounds = shingle_hashes(list(lines.values()), shingle)
-                    sets = {k: np.unique(h[a:b]) for k, a, b in zip(lines, bounds[:-1], bounds[1:], strict=True)}
+                    h, _, n = distinct_hashes(*shingle_hashes(list(lines.values()), shingle))
+                    ends = np.cumsum(n).tolist()
+                    sets = {k: h[a:b] for k, a, b in zip(lines, [0, *ends], ends, strict=False)}
                     ok += [similar(x[k], y[k], sets[i[k]], sets[j[k]], similarity, shingle) for k in range(len(i))]
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -360,9 +373,9 @@ class Candidates:
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def line_components(docs: DataFrame, members: DataFrame, found: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def line_components(docs: DataFrame, members: DataFrame, found: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the lines that are near another line; other lines are their own component."""
-    lines = Candidates(docs, found, members.select("id").distinct(), shingle=shingle, bands=bands, rows=rows, similarity=similarity)
+    lines = Candidates(docs, found, members.select("id").distinct(), shingle=shingle, similarity=similarity)
     return bucket_links(members, lines.verify, lines.describe, similarity)
 
 
@@ -376,13 +389,15 @@ def with_losses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     here = docs.withColumn(digest, F.xxhash64(id_col, text_col))
     named = here.select(F.col(id_col).alias("i"), F.col(digest).alias("d"), F.col(text_col).alias("text"))
     members, found = line_index(named, shingle=shingle, bands=bands, rows=rows)
-    roots = line_components(named, members, found, shingle=shingle, bands=bands, rows=rows, similarity=similarity)
+    roots = line_components(named, members, found, shingle=shingle, similarity=similarity)
     # most lines occur once and are near no other: only what is shared is held against its component's first
     shared = found.join(roots.withColumnRenamed("id", "line"), "line", "left").where("many or root is not null").select("i", "d", "place", F.coalesce("root", "line").alias("root"))
     shared = cut(shared)
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("d").alias("d"), F.col("place").alias("p"))
     # a table of its own, so that the join's rows of a frequent line can be split
     first = cut(shared.groupBy("root").agg(F.min(order).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep"))
+    del members, found, roots
+    release(docs.sparkSession)
     gone = shared.join(first, "root").where(~order.eqNullSafe(F.col("keep")))
     gone = gone.groupBy(F.col("i").alias(i), F.col("d").alias(d)).agg(F.array_sort(F.collect_set("place")).alias(lost)).hint("shuffle_hash")
     mine = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -27,9 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the exchanges and cut tables that nothing refers to any more. It does so for what the
+    driver's JVM has collected, and a driver that has little to do may not collect for hours. What hangs on a finalizer goes the second time."""
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once into the shared folder; lost executors do not lose it."""
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -241,8 +251,9 @@ def parity_sketch(hashes: np.ndarray, row: np.ndarray, rows: int, words: int) ->
 def distinct_hashes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct hashes of each row (hashes[bounds[i]:bounds[i + 1]]), their rows and the rows' numbers of them."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((hashes, row))
-    hashes = hashes[order]
+    hashes = hashes.copy()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        hashes[lo:hi].sort()
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
     return hashes[fresh], row[fresh], np.bincount(row[fresh], minlength=len(bounds) - 1)
@@ -259,64 +270,60 @@ def possible(similarity: float) -> Column:
     return size & (differ * F.lit(1 + similarity) <= (F.col("n_a") + F.col("n_b")) * F.lit(1 - similarity) + F.lit(1e-6))
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[DataFrame], DataFrame], similarity: float, *, rounds: int = 2, pivots: int = 4, alone: int = ALONE) -> DataFrame:
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[DataFrame], DataFrame], similarity: float, *, rounds: int = 2, pivots: int = 4, each: int = 32, alone: int = ALONE) -> DataFrame:
     """Components of ids linked by a verified pair of some bucket, as (id, root); ids alone are left out.
 
-    members(bucket, id, low), cut from its lineage: ids that share a bucket are candidates, and low is one id of it. verify
-    turns pairs(a, b), a > b, into those that truly link. describe turns ids into (id, n, s0.., keys): the
-    size and the parity sketch of their sets and the buckets they are in, in an order.
+    members(bucket, id, low), cut from its lineage: ids that share a bucket are candidates, and low is one id of it; a
+    column `pair` may mark buckets known to hold two ids only. verify turns pairs(a, b), a > b, into those that truly
+    link. describe turns ids into (id, n, s0..), and may give more ids than asked for: the size and the parity sketch
+    of their sets, cut too if they are costly.
 
     Connectivity is that of all verified pairs of all buckets, and nothing is left to chance after the
-    buckets. Each id is first held against the least low of its buckets, then against those of its
-    other lows that it isn't yet connected to; then, in buckets of three ids or more whose
-    members aren't all connected, against a few others of the bucket taken at random; and then all pairs
-    are tried whose ends are not yet connected and whose sizes and sketches allow the similarity. Both
-    bounds are exact, so a group of alike ids costs links in proportion to its size, and what is compared
-    beyond that is close to the threshold. A pair that shares several buckets is made in the first of them.
+    buckets. Both bounds of possible() are exact, so only pairs that pass them are ever verified. Each id is first
+    held against the lows of its buckets. Then buckets of three ids or more whose members aren't all connected are
+    left; while their pairs not yet connected number more than `each` times their members, those are held against a
+    few others of the bucket taken at random; and then all pairs are tried whose ends are not yet connected. So a group of
+    alike ids costs links in proportion to its size, and what is compared beyond that is close to the threshold. A pair that shares several of the buckets left is made in the first of them.
     """
+    info = ["n", *SKETCH]
+    known = describe(members.select("id").distinct()).select("id", *info)
+
+    def side(rows: DataFrame, end: str, *more: str) -> DataFrame:
+        return rows.select(*more, F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in rows.columns if c not in ("id", *more)])
+
     def tried(pairs: DataFrame) -> DataFrame:
-        return cut(verify(pairs.select("a", "b")).select("a", "b"))
+        return cut(verify(cut(pairs.select("a", "b"))).select("a", "b"))
 
-    def unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        ra, rb = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return cut(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
     pairs = members.where("id <> low").select(F.greatest("id", "low").alias("a"), F.least("id", "low").alias("b")).distinct()
-    pairs = cut(pairs)
-    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    links = tried(first)
+    links = tried(pairs.join(side(known, "a"), "a").join(side(known, "b"), "b").where(possible(similarity)))
     roots = star_components(links, alone=alone)
-    more = tried(unconnected(pairs.join(first, ["a", "b"], "left_anti"), roots))
-    if more.take(1):
-        links = links.union(more)
-        roots = star_components(links, alone=alone)
-
-    def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """rows with their roots, of the buckets that have several."""
-        of = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        some = of.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("bucket")
-        return cut(of.join(some, "bucket", "left_semi"))
-
-    left = mixed(members.select("bucket", "id"), roots)
-    if not left.take(1):
-        return roots
-    left = cut(left.join(describe(left.select("id").distinct()), "id"))
-    info = ["id", "root", "n", *SKETCH, "keys"]
-    side = {s: [F.col(c).alias(f"{c}_{s}") for c in info] for s in "ab"}
+    left = rooted((members.where("not pair") if "pair" in members.columns else members).select("bucket", "id"), roots)
+    some = left.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("bucket")
+    left = cut(left.join(some, "bucket", "left_semi"))
     near = (F.col("root_a") != F.col("root_b")) & possible(similarity)
-    two = [F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")]
-    for k in range(rounds):
-        chosen = [F.min_by(F.struct(*info), F.xxhash64("id", F.lit(k * pivots + p))) for p in range(pivots)]
-        other = left.groupBy("bucket").agg(F.array(*chosen).alias("p")).select("bucket", F.explode(F.array_distinct("p")).alias("p")).select("bucket", *[F.col(f"p.{c}").alias(f"{c}_b") for c in info])
-        new = tried(left.select("bucket", *side["a"]).join(other, "bucket").where(near).select(*two).distinct())
+    two = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    for k in range(rounds + 1):
+        size = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("alike"))
+        size = size.agg(F.sum("n").alias("rows"), F.sum(F.expr("double(n) * n - alike") / 2).alias("pairs")).first()
+        if not size["pairs"]:
+            return roots
+        if not k:
+            left = cut(left.join(known, "id").join(left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("keys")), "id"))
+        if k == rounds or size["pairs"] <= each * size["rows"]:
+            break
+        chosen = [F.min_by(F.struct("id", "root", *info), F.xxhash64("id", F.lit(k * pivots + p))) for p in range(pivots)]
+        other = left.groupBy("bucket").agg(F.array(*chosen).alias("p")).select("bucket", F.explode(F.array_distinct("p")).alias("p")).select("bucket", "p.*")
+        new = tried(side(left, "a", "bucket").join(side(other, "b", "bucket"), "bucket").where(near).select(*two).distinct())
         if not new.take(1):
             break
         links = links.union(new)
         roots = star_components(links, alone=alone)
-        left = mixed(left.drop("root"), roots)
-    a, b = (left.select("bucket", *side[s]) for s in "ab")
+        left = rooted(left.drop("root"), roots)
     before = F.array_position("keys_a", F.col("bucket")).cast("int") - 1
-    earlier = F.arrays_overlap(F.slice("keys_a", F.lit(1), before), F.slice("keys_b", F.lit(1), before))
-    rest = a.join(b, "bucket").where((F.col("id_a") > F.col("id_b")) & near & ~earlier)
-    more = tried(rest.select(*two))
+    earlier = F.arrays_overlap(F.slice("keys_a", F.lit(1), before), "keys_b")
+    rest = side(left, "a", "bucket").join(side(left, "b", "bucket"), "bucket").where((F.col("a") > F.col("b")) & near & ~earlier)
+    more = tried(rest)
     return star_components(links.union(more), alone=alone) if more.take(1) else roots

@@ -116,12 +116,11 @@ class SharedWords:
             for batch in batches:
                 for lo, hi, data, offsets in tk.chunks(batch.column(1)):
                     h, limits, _ = word_windows(data, offsets)
-                    keys = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(word_keys(h, limits).ravel()))
                     h, row, n = distinct_hashes(h, limits)
                     s = parity_sketch(h, row, hi - lo, WORDS_OF_SKETCH)
-                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *(pa.array(s[:, k]) for k in range(WORDS_OF_SKETCH)), keys], names=["id", "n", *SKETCH, "keys"])
+                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *(pa.array(s[:, k]) for k in range(WORDS_OF_SKETCH))], names=["id", "n", *SKETCH])
 
-        return self.texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(scan, f"id long, n long, {', '.join(f'{s} long' for s in SKETCH)}, keys array<long>")
+        return cut(self.texts.mapInArrow(scan, f"id long, n long, {', '.join(f'{s} long' for s in SKETCH)}"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         similarity = self.similarity

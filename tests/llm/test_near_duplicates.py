@@ -1,6 +1,8 @@
 """SimHash and line dedup against brute force; components; edge cases."""
 
+import gc
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -270,3 +272,44 @@ def test_string_ids(spark):
     rows = [("b", "the same line of text in both"), ("a", "the same line of text in both")]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {"a": rows[1][1], "b": ""}
+
+
+def test_bucket_links_verify_what_the_bounds_allow(spark):
+    rng = random.Random(9)
+    base = rng.sample(range(10**6), 100)
+    sets = {0: set(rng.sample(range(10**6), 100)), 1: set(base[:60])}  # the lows: unlike, and too small
+    sets |= {i: set(base) - {base[i]} for i in range(2, 12)}
+    hashes = {x: int(h) for x in set().union(*sets.values()) for h in [np.uint64(xxhash.xxh64_intdigest(str(x)))]}
+    rows = [(i, len(s), *(int(x) for x in shared.parity_sketch(np.array([hashes[x] for x in s], dtype=np.uint64), np.zeros(len(s), np.int64), 1, shared.WORDS)[0]), [b for b in (0, 1) if i >= b]) for i, s in sets.items()]
+    described = spark.createDataFrame(rows, f"id long, n long, {', '.join(f'{s} long' for s in shared.SKETCH)}, keys array<long>")
+    members = spark.createDataFrame([(b, i, b) for b in (0, 1) for i in sets if i >= b], "bucket long, id long, low long")
+    compared = []
+
+    def verify(pairs):
+        got = [(r.a, r.b) for r in pairs.collect()]
+        compared.extend(got)
+        return spark.createDataFrame([(a, b) for a, b in got if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], "a long, b long")
+
+    got = {r.id: r.root for r in shared.bucket_links(members, verify, lambda ids: described, 0.8).collect()}
+    assert got == {i: 2 for i in range(2, 12)}
+    assert compared and not {x for pair in compared for x in pair} & {0, 1}
+
+
+def test_line_dedup_lets_its_exchanges_go(spark):
+    def exchanges():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    base = [lines(i) for i in range(12)]
+    df = spark.createDataFrame([(i, "\n".join([base[i % 12], base[i * 5 % 12][:-9] + f" end{i}"])) for i in range(30)], "doc_id long, text string")
+    for _ in range(3):  # those of other tests
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+    before = exchanges()
+    joined, _ = linededup.with_losses(df)
+    for _ in range(20):  # they are deleted in the background
+        if exchanges() - before <= 10:
+            break
+        time.sleep(0.5)
+    assert exchanges() - before <= 10
+    assert joined.count() == 30
