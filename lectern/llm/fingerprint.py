@@ -32,73 +32,151 @@ from .shared import table
 SAMPLES = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
+#: Draws made at a time: what is worked on stays in a core's cache.
+_CELLS = 1 << 15
+#: Bytes of texts sampled together; a word that they share is drawn once.
+CHUNK = 1 << 22
+#: In a row that weighs FEW or more, only draws with an a below LOW are held against each other.
+LOW, FEW = 1 / 16, 128
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """tk.mix in place."""
+    spare = h >> np.uint64(30)
+    h ^= spare
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= np.right_shift(h, np.uint64(27), out=spare)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= np.right_shift(h, np.uint64(31), out=spare)
+    return h
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Words of 32 bits as numbers between 0 and 1."""
+    u = h.astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0**-32)
+    return u
+
+
+def _two_units(h: np.ndarray) -> np.ndarray:
+    """The product of two numbers between 0 and 1, one from either half of h; minus its logarithm is of Gamma(2, 1)."""
+    u = _unit(h.view(np.uint32))
+    return np.maximum(u[:, ::2] * u[:, 1::2], np.float32(1e-30))
+
+
+def _seeds(terms: np.ndarray, samples: int) -> np.ndarray:
+    return terms[:, None] + (np.arange(1, samples + 1, dtype=np.uint64) * _STEP)[None, :]
+
+
+def _r_and_c(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(-r) and c, a row for each term and a column for each sample."""
+    c = _two_units(_mix(seed ^ np.uint64(0x5851F42D4C957F2D)))
+    return _two_units(_mix(seed.copy())), np.maximum(-np.log(c), np.float32(1e-30))
+
+
+def _packed(terms: np.ndarray, seed: np.ndarray, exp_r: np.ndarray, c: np.ndarray, ln_w: np.ndarray, below: float = np.inf) -> tuple[np.ndarray, np.ndarray | slice]:
+    """Words that sort by ln a and carry 16 bits of the sample's id, never zero, of those draws whose ln a is below the bound, and which they are."""
+    three = _mix(seed + np.uint64(0x14057B7EF767814F))
+    b = np.minimum(_unit((three >> np.uint64(32)).astype(np.uint32)), np.float32(0.99999994))
+    r = np.maximum(-np.log(exp_r), np.float32(1e-6))
+    t = np.floor(ln_w / r + b)  # 0 for a weight of 1
+    ln_a = np.log(c) - r * (t - b) - r
+    at = np.flatnonzero(ln_a < np.float32(below)) if below < np.inf else slice(None)
+    ln_a, t = ln_a[at], t[at]
+    ids = _mix((three[at] & np.uint64(0xFFFFFFFF)) + (terms[at] << np.uint64(7)))
+    ids = np.where(t == 0, ids, _mix(ids + t.astype(np.int64).astype(np.uint64) * _STEP))
+    bits = ln_a.view(np.uint32)
+    key = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
+    return key << np.uint64(32) | (ids & np.uint64(0xFFFFFFFE)) | np.uint64(1), at
 
-def _draws(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, b and a seed for sample ids, a row for each term and a column for each sample."""
-    seed = terms[:, None] + (np.arange(1, samples + 1, dtype=np.uint64) * _STEP)[None, :]
-    one, two, three = tk.mix(seed), tk.mix(seed ^ np.uint64(0x5851F42D4C957F2D)), tk.mix(seed + np.uint64(0x14057B7EF767814F))
-    low, scale = np.uint64(0xFFFFFFFF), np.float32(2.0**-32)
 
-    def unit(h: np.ndarray) -> np.ndarray:
-        return (h.astype(np.float32) + np.float32(0.5)) * scale
+_NONE = ~np.uint64(0)
 
-    r = -np.log(np.maximum(unit(one >> np.uint64(32)) * unit(one & low), np.float32(1e-30)))
-    c = -np.log(np.maximum(unit(two >> np.uint64(32)) * unit(two & low), np.float32(1e-30)))
-    b = np.minimum(unit(three >> np.uint64(32)), np.float32(0.99999994))
-    return np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-30))), b, three & low
 
+def _least_of_all(rows: np.ndarray, terms: np.ndarray, ln_w: np.ndarray, n: int, samples: int) -> np.ndarray:
+    """The least packed draw of each row in each sample (n by samples), _NONE for a row without terms; all draws are made."""
+    out = np.full((n, samples), _NONE)
+    each = max(1, _CELLS // samples)
+    for lo in range(0, len(rows), each):
+        row, some = rows[lo : lo + each], terms[lo : lo + each]
+        seed = _seeds(some, samples)
+        draw = _packed(np.repeat(some, samples), seed.ravel(), *(x.ravel() for x in _r_and_c(seed)), np.repeat(ln_w[lo : lo + each], samples))[0].reshape(-1, samples)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        out[row[first]] = np.minimum(out[row[first]], np.minimum.reduceat(draw, first, axis=0))
+    return out
 
-def _packed(ln_a: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Words that sort by ln_a and carry 16 bits of the sample's id, never zero."""
-    bits = ln_a.astype(np.float32).view(np.uint32)
-    key = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-    return key << np.uint64(32) | (ids & np.uint64(0xFFFFFFFE)) | np.uint64(1)
+
+def _low_draws(terms: np.ndarray, ln_w: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the weighted terms' draws those with an a below LOW: packed, their samples, and the terms' bounds in them.
+
+    t - b is at most ln w / r, so a is at least c exp(-r) / w: where that is not below LOW (by more than is lost in rounding), nothing
+    else of the draw is made."""
+    each = max(1, _CELLS // samples)
+    draws, sample, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    limit = np.float32(LOW * 1.001) * np.exp(ln_w)
+    for lo in range(0, len(terms), each):
+        some = terms[lo : lo + each]
+        seed = _seeds(some, samples)
+        exp_r, c = _r_and_c(seed)
+        row, col = np.nonzero(c * exp_r < limit[lo : lo + each, None])
+        cell = row * samples + col
+        got, at = _packed(some[row], seed.ravel()[cell], exp_r.ravel()[cell], c.ravel()[cell], ln_w[lo : lo + each][row], np.log(LOW))
+        draws.append(got)
+        sample.append(col[at])
+        count.append(np.bincount(row[at], minlength=len(some)))
+    return np.concatenate(draws), np.concatenate(sample), np.cumsum(np.concatenate(count))
+
+
+def _least_of_low(rows: np.ndarray, terms: np.ndarray, ln_w: np.ndarray, n: int, samples: int) -> np.ndarray:
+    """What _least_of_all gives, wherever a row has a draw below LOW in a sample; else _NONE."""
+    out = np.full(n * samples, _NONE)
+    known, index = np.unique(terms, return_inverse=True)
+    heights, height = np.unique(ln_w, return_inverse=True)
+    both, index = np.unique(index * len(heights) + height, return_inverse=True)  # each term once for each of its weights
+    draws, sample, bounds = _low_draws(known[both // len(heights)], heights[both % len(heights)], samples)
+    for lo in range(0, len(rows), 1 << 13):
+        at = index[lo : lo + (1 << 13)]
+        count = bounds[at + 1] - bounds[at]
+        ends = np.cumsum(count)
+        source = np.arange(ends[-1]) + np.repeat(bounds[at] - ends + count, count)
+        np.minimum.at(out, np.repeat(rows[lo : lo + (1 << 13)] * samples, count) + sample[source], draws[source])
+    return out.reshape(n, samples)
 
 
 def weighted_samples(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, samples: int = SAMPLES) -> np.ndarray:
-    """Sample ids (n by samples, 16 bits, 0 for a row without terms) of rows' weighted terms; rows ascending."""
-    out = np.zeros((n, samples), dtype=np.uint16)
-    if not len(rows):
-        return out
-    known, index = np.unique(terms, return_inverse=True)
-    r, ln_c, b, ids = _draws(known, samples)
-    mixed = tk.mix(ids + (known[:, None] << np.uint64(7)))
-    once = _packed(ln_c + r * b - r, mixed)  # weight 1: t = 0
-    bounds = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    ends = np.append(bounds[1:], len(rows))
-    lo = 0
-    while lo < len(bounds):  # slices of rows of a bounded number of terms
-        hi = max(lo + 1, int(np.searchsorted(ends, bounds[lo] + 16_384, side="right")))
-        a, z = bounds[lo], ends[hi - 1]
-        at = index[a:z]
-        draw = once[at]
-        many = np.flatnonzero(weights[a:z] != 1)
-        if len(many):
-            m = at[many]
-            t = np.floor(np.log(weights[a:z][many].astype(np.float32))[:, None] / r[m] + b[m])
-            draw[many] = _packed(ln_c[m] - r[m] * (t - b[m]) - r[m], tk.mix(mixed[m] + t.astype(np.int64).astype(np.uint64) * _STEP) * (t != 0) + mixed[m] * (t == 0))
-        least = np.minimum.reduceat(draw, bounds[lo:hi] - a, axis=0)
-        got = (least & np.uint64(0xFFFF)).astype(np.uint16) ^ ((least >> np.uint64(16)) & np.uint64(0xFFFE)).astype(np.uint16)
-        out[rows[bounds[lo:hi]]] = np.where(got == 0, 1, got)
-        lo = hi
-    return out
+    """Sample ids (n by samples, 16 bits, 0 for a row without terms) of rows' weighted terms; rows ascending.
+
+    a is exponential with a rate of the weight, so the least of a heavy row is nearly always below LOW, and most draws are not. A
+    light row, or one that has no draw below LOW in some sample, has all its draws made; what comes out is the same."""
+    ln_w = np.log(weights.astype(np.float32))
+    least = np.full((n, samples), _NONE)
+    some = (np.bincount(rows, weights, minlength=n) >= FEW)[rows]
+    if some.any():
+        least = _least_of_low(rows[some], terms[some], ln_w[some], n, samples)
+    rest = (least == _NONE).any(axis=1)
+    some = rest[rows]
+    if some.any():
+        least[rest] = _least_of_all(rows[some], terms[some], ln_w[some], n, samples)[rest]
+    got = (least & np.uint64(0xFFFF)).astype(np.uint16) ^ ((least >> np.uint64(16)) & np.uint64(0xFFFE)).astype(np.uint16)
+    got[got == 0] = 1
+    got[(least == _NONE).all(axis=1)] = 0
+    return got
 
 
 def term_weights(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, terms, counts) of the words of the chunk's texts, rows ascending."""
     starts, ends, bounds = tk.runs(data, offsets, tk.NON_SPACE)
     h = tk.run_hashes(tk.FOLD[data], starts, ends)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(fresh)
-    return row[at], h[at], np.diff(np.append(at, len(h)))
+    known, index = np.unique(h, return_inverse=True)
+    each = np.sort(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * max(1, len(known)) + index)
+    at = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.zeros(0, np.int64)
+    row, index = np.divmod(each[at], max(1, len(known)))
+    return row, known[index], np.diff(np.append(at, len(h)))
 
 
 def sample_texts(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
-    got = [weighted_samples(*term_weights(data, offsets), hi - lo, samples) for lo, hi, data, offsets in tk.chunks(texts, 1 << 20)]
+    got = [weighted_samples(*term_weights(data, offsets), hi - lo, samples) for lo, hi, data, offsets in tk.chunks(texts, CHUNK)]
     return np.concatenate(got) if got else np.zeros((0, samples), np.uint16)
 
 
@@ -226,7 +304,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 held.append(row)
                 size += len(row[3])
-                if size > 1 << 19 and len(held) > 1:
+                if size > 1 << 20 and len(held) > 1:
                     yield flush(False)
         yield flush(True)
 

@@ -1,9 +1,11 @@
 """Quality, language, mixing and fingerprints: accuracy, estimates and edge cases."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from lectern.llm import fingerprint as fg
@@ -124,6 +126,36 @@ def test_fingerprints(spark):
     assert got[0] == got[1] == got[7] and got[2] == got[3] == got[4] == "0" * 256 and "0000" not in [got[0][i : i + 4] for i in range(0, 256, 4)]
 
 
+def test_low_draws_give_what_all_draws_give(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [1, 0, 5000, 127, 128, 129, 700, 0, 300, 40_000]
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    terms = rng.integers(0, 2**63, 30_000, dtype=np.uint64)[rng.integers(0, 30_000, len(rows))]
+    weights = np.where(rng.random(len(rows)) < 0.8, 1.0, rng.choice([0.01, 0.5, 2, 3, 1000], len(rows)))
+    for case in (weights, np.ones(len(rows), np.int64), np.full(len(rows), 1e-6)):
+        got = fg.weighted_samples(rows, terms, case, len(sizes))
+        with monkeypatch.context() as patch:
+            patch.setattr(fg, "FEW", np.inf)
+            assert (got == fg.weighted_samples(rows, terms, case, len(sizes))).all()
+        with monkeypatch.context() as patch:
+            patch.setattr(fg, "FEW", 0)  # rows of few words, and a bound that many samples of theirs don't reach
+            patch.setattr(fg, "LOW", 0.001)
+            patch.setattr(fg, "_CELLS", 1 << 10)
+            assert (got == fg.weighted_samples(rows, terms, case, len(sizes))).all()
+        assert ((got == 0).all(axis=1) == (np.array(sizes) == 0)).all() and ((got == 0).any(axis=1) == (np.array(sizes) == 0)).all()
+
+
+def test_draws_are_made_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 60_000, 400)) for _ in range(300)], pa.large_string())
+    tracemalloc.start()
+    try:
+        fg.sample_texts(texts)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20  # 64 draws of 52,000 words take 27 MB for each number of 8 bytes
+    finally:
+        tracemalloc.stop()
+
+
 def digest(text):
     h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (1 << 64) if h >> 63 else h
