@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 def running_offsets(units: DataFrame, book: str, order: str | list[str], length: Column, joiner: int = 2) -> DataFrame:
     """units with start_off and end_off in the book's text, units joined by joiner characters."""
     w = Window.partitionBy(book).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(length + joiner).over(w), F.lit(0)).cast("long")
-    return units.withColumn("start_off", start).withColumn("end_off", (F.col("start_off") + length).cast("long"))
+    start = F.coalesce(F.sum(F.col("__n") + joiner).over(w), F.lit(0)).cast("long")
+    rows = units.withColumn("__n", length).withColumn("start_off", start)  # measured first: texts that nobody asks for stay out of the window
+    return rows.withColumn("end_off", (F.col("start_off") + F.col("__n")).cast("long")).drop("__n")
 
 
 def page_spans(pages: DataFrame, book: str = "book_id") -> DataFrame:
@@ -37,7 +38,8 @@ def page_as_of(probes: DataFrame, pages: DataFrame, book: str = "book_id", at: s
     asked = probes.select(F.col(book).alias("__b"), F.col(at).cast("long").alias("__o"), F.lit(1).alias("__k"), F.lit(0).cast("long").alias("__s"), F.lit(None).cast("string").alias("__l"), F.struct(*probes.columns).alias("__p"))
     forward = Window.partitionBy("__b").orderBy("__o", "__k", "__s").rowsBetween(Window.unboundedPreceding, 0)
     first = F.min_by("__l", F.when(F.col("__k") == 0, F.struct("__o", "__s"))).over(Window.partitionBy("__b"))
-    found = lines.union(asked).withColumn("label", F.coalesce(F.last("__l", ignorenulls=True).over(forward), first))
+    both = lines.union(asked).repartition("__b")  # an exchange of its own: a union's two sides may be dealt out differently
+    found = both.withColumn("label", F.coalesce(F.last("__l", ignorenulls=True).over(forward), first))
     return found.where("__k = 1").select("__p.*", "label")
 
 

@@ -122,8 +122,12 @@ class Flow:
             failed.append(bad.select("book_id", F.lit(name).alias("step"), "error"))
             return got.join(bad, "book_id", "left_anti").select("book_id", *[k for k in keys if k != "book_id"], "response")
 
-        built = sections.build_chunks(books.select("book_id", "text", "content_start", "content_end"), headings, chunk_tokens=self.chunk_tokens, context=self.context, output=self.output)
-        chunks = self.store.run("chunk", ids, lambda todo: sections.with_bodies(built.join(todo, "book_id", "left_semi"), books, "book_id").withColumnRenamed("body", "text"))
+        def chunked(todo: DataFrame) -> DataFrame:
+            texts = books.select("book_id", "text", "content_start", "content_end").join(todo, "book_id", "left_semi")
+            built = sections.build_chunks(texts, headings, chunk_tokens=self.chunk_tokens, context=self.context, output=self.output)
+            return sections.with_bodies(built, texts, "book_id").withColumnRenamed("body", "text")
+
+        chunks = self.store.run("chunk", ids, chunked)
         part = F.lit(self.spark.range(1).select(fx.part_minutes(F.lit(self.style))).first()[0])
         lo, hi = self.spark.range(1).select(budget.read_plan(F.lit(0), part, F.lit(self.max_minutes)).alias("p")).select("p.lo", "p.hi").first()
         plans = step("plan", ids, ["book_id"], lambda todo: self.ask(plan_requests(books.join(todo, "book_id", "left_semi"), chunks, self.style, lo, hi), ["book_id"]))

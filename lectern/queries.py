@@ -15,6 +15,7 @@ from .functions import python as fp
 from .functions import text as fx
 from .operators import figures, headings, offsets, quotes, sections
 from .plans import budget, model, stages, synthesis
+from .plans.stages import cut
 from .render import epub, pages
 from .sources import books, html
 from .streaming import watch
@@ -418,6 +419,20 @@ def split_spans(spark, d):
     return x.select("doc_id", s.alias("k", "s")).select("doc_id", "k", "s.start", "s.end")
 
 
+def book_pieces(spark, d):
+    """Content ranges, headings and texts of the sources as books. A text's pieces are its documents, each with the blank
+    line after it, so no row holds a book, and offsets are made without texts."""
+    key = [F.col("source").alias("book_id"), "doc_id", F.xxhash64("text").alias("h")]
+    docs = t(spark, d, "documents")
+    b = cut(offsets.running_offsets(docs.select(*key, F.length("text").alias("n")), "book_id", ["doc_id", "h"], F.col("n")))
+    places = b.where("n is not null").select("book_id", "doc_id", "h", F.col("start_off").alias("piece"), (F.col("n") + 2).alias("length"))
+    texts = docs.where("text is not null").select(*key, F.concat("text", F.lit("\n\n")).alias("text"))
+    lengths = b.groupBy("book_id").agg(F.coalesce(F.max("end_off"), F.lit(0)).alias("length"))
+    heads = b.select("book_id", F.col("start_off").alias("offset"), F.lit(1).alias("level"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("doc_id").alias("seq"))
+    pieces = sections.Pieces(places, texts, ["book_id", "doc_id", "h"])
+    return books.pieces_range(pieces, lengths), heads, pieces
+
+
 def full_books(spark, d):
     b = book_view(spark, d)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n")
@@ -428,8 +443,7 @@ def full_books(spark, d):
 
 @query()
 def chunk_build(spark, d):
-    b, h = full_books(spark, d)
-    return sections.build_chunks(b, h).select("book_id", "idx", "title", "kind", "start", "end", "tokens")
+    return sections.build_chunks(*book_pieces(spark, d)).select("book_id", "idx", "title", "kind", "start", "end", "tokens")
 
 
 _PARTS, _EXTRA = 3, 2500

@@ -470,3 +470,51 @@ def test_screening(spark):
     assert not flow.screened(none).first().meaningful
     stats = flow.call_stats(model.ask(asked, model.StubClient, keys=["book_id", "seq"]), ["book_id"]).first()
     assert (stats.calls, stats.first_try) == (2, 2)
+
+
+def test_chunks_of_pieces(spark):
+    """A book's text in pieces has the content range and the chunks of the whole, wherever markers and sections begin."""
+    stars, begin, end = "*** ", "START OF THE PROJECT GUTENBERG EBOOK ***", "END OF THE PROJECT GUTENBERG EBOOK ***"
+    prose = "Sentence of words here. "
+    told = {
+        "plain": [prose * 9, "", prose * 4000, "é" * 50, prose * 30],
+        "inside": [prose, "END of it\n" + stars + end, prose + "\n" + stars + begin + "\nfirst", prose * 300, "last\n" + stars + end, prose],
+        "crossing": ["ends with ***", " \n", "\n" + begin + "\nfirst", prose * 200, "more ***", end.lower(), prose],
+        "stars": [stars + begin, end, prose * 200, stars, "  ", "no " + end, stars + end],
+        "never": [prose * 100, "***", begin[:-30], end],
+        "nothing": ["", ""],
+    }
+    pieces, whole, heads, lengths = [], [], [], []
+    for name, parts in told.items():
+        at = 0
+        for k, part in enumerate(parts):
+            pieces.append((name, at, part + "\n\n"))
+            heads.append((name, at, 1, f"Title {k}", k))
+            at += len(part) + 2
+        whole.append((name, "\n\n".join(parts)))
+        lengths.append((name, at - 2))
+    whole = books.with_content_range(spark.createDataFrame(whole, "book_id string, text string"))
+    pieces = spark.createDataFrame(pieces, "book_id string, piece long, text string")
+    pieces = sections.Pieces(pieces.select("book_id", "piece", F.length("text").alias("length")), pieces, ["book_id", "piece"])
+    heads = spark.createDataFrame(heads, "book_id string, offset long, level int, title string, seq long")
+    ranges = books.pieces_range(pieces, spark.createDataFrame(lengths, "book_id string, length long"))
+    want = {r.book_id: (r.content_start, r.content_end) for r in whole.collect()}
+    assert {r.book_id: (r.content_start, r.content_end) for r in ranges.collect()} == want
+    assert all(want[name][0] > 0 for name in ("inside", "crossing", "stars")) and want["never"][0] == 0
+
+    def chunks(*given):
+        return sorted(map(tuple, sections.build_chunks(*given, chunk_tokens=900).select("book_id", "idx", "title", "start", "end", "tokens").collect()))
+
+    got = chunks(ranges, heads, pieces)
+    assert got == chunks(whole, heads) and len(got) > 20
+
+
+def test_no_row_holds_a_book(spark, tmp_path):
+    docs = [(i, "src0", None if i == 3 else f"Document {i} begins. " + "Words of it. " * 90) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ranges, _, pieces = queries.book_pieces(spark, str(tmp_path))
+    longest = max(len(d[2]) for d in docs if d[2])
+    assert max(len(r.text) for r in pieces.texts.collect()) == longest + 2
+    assert [(r.content_start, r.content_end) for r in ranges.collect()] == [(0, sum(len(d[2]) + 2 for d in docs if d[2]) - 2)]
+    chunks = queries.chunk_build(spark, str(tmp_path)).orderBy("idx").collect()
+    assert chunks[0].start == 0 and chunks[-1].end == ranges.first().content_end and all(a.end == b.start for a, b in zip(chunks, chunks[1:], strict=False))
