@@ -433,14 +433,6 @@ def book_pieces(spark, d):
     return books.pieces_range(pieces, lengths), heads, pieces
 
 
-def full_books(spark, d):
-    b = book_view(spark, d)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n")
-    books_ = b.groupBy("source").agg(text.alias("text")).select(F.col("source").alias("book_id"), "text").transform(books.with_content_range)
-    heads = b.select(F.col("source").alias("book_id"), F.col("start_off").alias("offset"), F.lit(1).alias("level"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("doc_id").alias("seq"))
-    return books_, heads
-
-
 @query()
 def chunk_build(spark, d):
     return sections.build_chunks(*book_pieces(spark, d)).select("book_id", "idx", "title", "kind", "start", "end", "tokens")
@@ -787,31 +779,39 @@ def watch_stable(spark, d):
 # ---------------------------------------------------------------- the whole
 
 
-def summaries(spark: SparkSession, d: str) -> DataFrame:
-    """Books as JSON for rendering: chunks with extracted notes, verified quotes, stub synthesis and parts."""
-    b, h = full_books(spark, d)
-    chunks = sections.build_chunks(b, h)
-    body = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    chunks = chunks.join(b.select("book_id", "text"), "book_id").withColumn("text", body)
-    quoted = chunks.select("book_id", "idx", F.explode(F.array(F.substring("text", 1, 120), F.substring("text", 300, 90))).alias("text"))
+def book_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Books as (book_id, book), JSON with a stub synthesis and a report on quotes but without chapters, and their
+    chapters (book_id, idx, part, title, notes): chunks with extracted notes and verified quotes, a row each."""
+    b, h, pieces = book_pieces(spark, d)
+    chunks = cut(sections.build_chunks(b, h, pieces).select("book_id", "idx", "title", "start", "end"))
+    bodies = sections.with_bodies(chunks, pieces, "book_id").withColumnRenamed("body", "text")
+    lines = F.split("text", "\n")
+    drawn = cut(bodies.select(
+        "book_id", "idx", "title", F.substring("text", 1, 120).alias("core_idea"), F.substring("text", 300, 90).alias("later"), F.substring("text", 1, 600).alias("summary"),
+        F.slice(lines, 2, 3).alias("key_arguments"), F.slice(lines, 5, 2).alias("takeaways"), F.size(F.split("text", " ")).alias("size"),
+    ))
+    quoted = drawn.select("book_id", "idx", F.explode(F.array("core_idea", "later")).alias("text"))
     quoted = quoted.withColumn("seq", F.row_number().over(Window.partitionBy("book_id", "idx").orderBy("text")))
     page = h.select("book_id", "seq", "offset", F.col("seq").cast("string").alias("label"))
-    verdicts = quotes.verify_quotes(quoted, chunks, page)
+    verdicts = cut(quotes.verify_quotes(quoted, bodies, page))
     kept = verdicts.where("verdict in ('exact', 'fuzzy')").groupBy("book_id", "idx").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("found").alias("text"), "page"))).alias("quotes"))
-    rows_ = chunks.join(kept, ["book_id", "idx"], "left")
-    notes = F.struct(F.substring("text", 1, 120).alias("core_idea"), F.substring("text", 1, 600).alias("summary"), F.slice(F.split("text", "\n"), 2, 3).alias("key_arguments"), F.slice(F.split("text", "\n"), 5, 2).alias("takeaways"), F.coalesce("quotes", F.array().cast("array<struct<seq:int,text:string,page:string>>")).alias("quotes"))
-    rows_ = rows_.select("book_id", "idx", "title", notes.alias("notes"), F.size(F.split("text", " ")).alias("size"))
-    parts = budget.assign_parts(rows_, "book_id", "idx", "size", 3, 2500)
+    parts = budget.assign_parts(drawn, "book_id", "idx", "size", 3, 2500)
+    notes = F.struct("core_idea", "summary", "key_arguments", "takeaways", F.coalesce("quotes", F.array().cast("array<struct<seq:int,text:string,page:string>>")).alias("quotes"))
+    chapters = drawn.join(kept, ["book_id", "idx"], "left").join(parts, ["book_id", "idx"]).select("book_id", "idx", "part", "title", F.to_json(notes).alias("notes"))
     stub = model.StubClient().fill(synthesis.SUMMARY, "summary")
     report = quotes.quote_report(verdicts).select("book_id", F.struct("total", "kept", "exact", "fuzzy").alias("report"))
-    full = rows_.join(parts, ["book_id", "idx"]).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", "title", "part", "notes"))).alias("chapters"))
-    full = full.join(report, "book_id")
-    return full.select("book_id", F.to_json(F.struct(F.col("book_id").alias("title"), F.lit("").alias("author"), F.transform("chapters", lambda c: c["part"]).alias("parts"), "chapters", F.from_json(F.lit(json.dumps(stub)), model.ddl(synthesis.SUMMARY)).alias("summary"), "report")).alias("book"))
+    return report.select("book_id", F.to_json(F.struct(F.col("book_id").alias("title"), F.lit("").alias("author"), F.from_json(F.lit(json.dumps(stub)), model.ddl(synthesis.SUMMARY)).alias("summary"), "report")).alias("book")), chapters
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Books as one JSON each, with their chapters, for books that a row can hold."""
+    return pages.whole_books(*book_frames(spark, d))
 
 
 @query()
 def book_summary(spark, d):
-    return pages.render_books(summaries(spark, d)).select("book_id", "part", "name", "words", "minutes", F.length("html").alias("n_chars"))
+    frames, chapters = book_frames(spark, d)
+    return pages.part_sizes(frames, pages.render_chapters(chapters))
 
 
 @query("select source as book_id, true as made, cast(null as varchar) as error from documents group by source")

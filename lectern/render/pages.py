@@ -71,6 +71,15 @@ def word_count(context: dict) -> int:
     return sum(words_in(context[k]) for k in READ_KEYS if k in context)
 
 
+def _entry(c: dict) -> dict:
+    """A chapter as the pages have it: without its quotes, which stand together."""
+    return {"index": c["idx"], "title": c["title"], "pages": c.get("pages", ""), **{x: v for x, v in c["notes"].items() if x != "quotes"}}
+
+
+def _quotes(c: dict) -> list[dict]:
+    return [{**q, "chapter": c["idx"]} for q in c["notes"].get("quotes", [])]
+
+
 def part_contexts(book: dict) -> list[dict]:
     """The contexts of a book's parts. Part 1 carries the overview and the corrections; all have the navigation.
 
@@ -88,8 +97,7 @@ def part_contexts(book: dict) -> list[dict]:
             **(book["summary"] if k == 1 else _EMPTY), "title": book["title"], "author": book.get("author", ""), "part": k, "parts": n, "name": names[k - 1],
             "nav": [{"part": j + 1, "href": quote(names[j])} for j in range(n)],
             "hrefs": {i: "" if f == names[k - 1] else quote(f) for i, f in where.items()},
-            "chapters": [{"index": c["idx"], "title": c["title"], "pages": c.get("pages", ""), **{x: v for x, v in c["notes"].items() if x != "quotes"}} for c in mine],
-            "quotes": [{**q, "chapter": c["idx"]} for c in mine for q in c["notes"].get("quotes", [])],
+            "chapters": [_entry(c) for c in mine], "quotes": [q for c in mine for q in _quotes(c)],
             "figures": [f for f in book.get("figures", []) if f["chapter"] in ids], "fixes": book.get("fixes", []) if k == 1 else [], "report": book.get("report", {}),
         }
         context["words"] = word_count(context)
@@ -115,8 +123,14 @@ def _chapter(c: dict) -> str:
     return head + body + _list([md(t) for t in c.get("takeaways", [])]) + "</article>"
 
 
-def render_part(c: dict) -> str:
-    """One part as a page. Sections without content are left out."""
+def _quote(q: dict) -> str:
+    return f"<blockquote>{html.escape(q['text'])}{f' <cite>p. {html.escape(q['page'])}</cite>' if q.get('page') else ''}</blockquote>"
+
+
+def render_part(c: dict, chapters: str | None = None, quotes: str | None = None) -> str:
+    """One part as a page. Sections without content are left out. chapters, quotes: these sections, rendered before."""
+    chapters = "".join(map(_chapter, c["chapters"])) if chapters is None else chapters
+    quotes = "".join(map(_quote, c["quotes"])) if quotes is None else quotes
     h = c["hrefs"]
     nav = " ".join(f"<strong>Part {n['part']}</strong>" if n["part"] == c["part"] else f'<a href="{n["href"]}">Part {n["part"]}</a>' for n in c["nav"]) if c["parts"] > 1 else ""
     crit = c["critique"]
@@ -124,12 +138,12 @@ def render_part(c: dict) -> str:
     parts = [
         _section("In short", "tldr", _list([md(t) for t in c["tldr"]])), _section("Thesis", "thesis", f"<p>{md(c['core_thesis'])}</p>" if c["core_thesis"] else ""),
         _section("Themes", "themes", "".join(f"<h3>{md(t['name'])}</h3><p>{md(t['explanation'])} {chapter_refs(t['chapters'], h)}</p>" for t in c["themes"])),
-        _section("Chapters", "chapters", "".join(map(_chapter, c["chapters"]))),
+        _section("Chapters", "chapters", chapters),
         _section("Frameworks", "frameworks", "".join(f"<h3>{md(f['name'])}</h3><p>{md(f['what'])}</p><p>{md(f['how_to_apply'])} {chapter_refs(f['chapters'], h)}</p>" for f in c["frameworks"])),
         _section("Stories", "stories", "".join(f"<h3>{md(s['title'])}</h3><p>{md(s['story'])}</p><p><em>{md(s['lesson'])}</em> {chapter_refs(s['chapter'], h)}</p>" for s in c["key_stories"])),
         _section("Figures", "figures", "".join(f'<figure><img src="{html.escape(f["src"])}" alt=""/><figcaption>{md(f["caption"])}</figcaption></figure>' for f in c["figures"])),
         _section("What to do", "takeaways", _list([f"<strong>{md(t['action'])}</strong> {md(t['why'])}" for t in c["takeaways"]], "ol")),
-        _section("Quotes", "quotes", "".join(f"<blockquote>{html.escape(q['text'])}{f' <cite>p. {html.escape(q['page'])}</cite>' if q.get('page') else ''}</blockquote>" for q in c["quotes"])),
+        _section("Quotes", "quotes", quotes),
         _section("Critique", "critique", "".join(f"<h3>{title}</h3>{_list([md(x) for x in crit[key]])}" for key, title in names if crit.get(key)) + (f"<p>{md(crit['who_should_read'])}</p>" if crit.get("who_should_read") else "")),
         _section("Cheat sheet", "cheat-sheet", _list([f"<strong>{md(x['label'])}</strong> {md(x['line'])}" for x in c["cheat_sheet"]])),
     ]
@@ -152,6 +166,71 @@ def render_books(books: DataFrame) -> DataFrame:
     return books.select("book_id", "book").mapInPandas(run, f"book_id {kind}, part int, name string, html string, words int, minutes int")
 
 
+def whole_books(frames: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book_id, book) for render_books, of frames (book_id, book), JSON without chapters, and chapters (book_id, idx, part, title, notes)."""
+    text = F.to_json(F.struct("idx", "title"))
+    one = F.concat(F.substring(text, 1, F.length(text) - 1), F.lit(',"notes":'), F.col("notes"), F.lit("}"))
+    sides = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", "part", one.alias("one")))).alias("c"))
+    parts, all_ = F.array_join(F.transform("c", lambda c: c["part"].cast("string")), ","), F.array_join(F.transform("c", lambda c: c["one"]), ",")
+    whole = F.concat(F.expr("substring(book, 1, length(book) - 1)"), F.lit(',"parts":['), parts, F.lit('],"chapters":['), all_, F.lit("]}"))
+    return frames.join(sides, "book_id").select("book_id", whole.alias("book"))
+
+
+def render_chapters(chapters: DataFrame) -> DataFrame:
+    """(book_id, part, idx, article, quotes, words) of chapters (book_id, idx, part, title, notes as JSON), each by itself:
+    what a part's page has of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, idx, part, title, notes in zip(batch["book_id"], batch["idx"], batch["part"], batch["title"], batch["notes"], strict=True):
+                c = {"idx": int(idx), "title": title, "notes": json.loads(notes)}
+                entry, quoted = _entry(c), _quotes(c)
+                rows.append((i, part, idx, _chapter(entry), "".join(map(_quote, quoted)), words_in(entry) + words_in(quoted)))
+            yield pd.DataFrame(rows, columns=["book_id", "part", "idx", "article", "quotes", "words"])
+
+    kind = chapters.schema["book_id"].dataType.simpleString()
+    return chapters.select("book_id", "idx", "part", "title", "notes").mapInPandas(run, f"book_id {kind}, part int, idx int, article string, quotes string, words int")
+
+
+def render_frames(frames: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(book_id, part, name, words, minutes, head, middle, tail) of frames (book_id, book), JSON without chapters, and their
+    rendered chapters. A part's page is its head, its articles by idx, the middle, its quotes by idx and the tail, so a page
+    is known from rows none of which holds more than a chapter."""
+    sums = rendered.groupBy("book_id", "part").agg(
+        F.sum("words").alias("words"), (F.max(F.length("article")) > 0).alias("articles"), (F.max(F.length("quotes")) > 0).alias("quotes"), F.array_sort(F.collect_list("idx")).alias("idx")
+    )
+    sums = sums.groupBy("book_id").agg(F.collect_list(F.struct("part", "words", "articles", "quotes", "idx")).alias("parts"))  # a book's parts
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text, sides in zip(batch["book_id"], batch["book"], batch["parts"], strict=True):
+                book, of = json.loads(text), {int(p["part"]): p for p in sides}
+                mine = [(int(k), n) for n in sorted(of) for k in of[n]["idx"]]
+                light = {**book, "parts": [n for _, n in mine], "chapters": [{"idx": k, "title": "", "notes": {}} for k, _ in mine]}
+                for c in part_contexts(light):
+                    p, c = of.get(c["part"], {"words": 0, "articles": False, "quotes": False}), {**c, "chapters": [], "quotes": []}
+                    words = word_count(c) + int(p["words"])
+                    c |= {"words": words, "minutes": max(1, math.ceil(words / WORDS_PER_MINUTE))}
+                    mark = uuid.uuid4().hex
+                    cuts = render_part(c, mark if p["articles"] else "", mark if p["quotes"] else "").split(mark)
+                    head, middle, tail = (cuts[0], "", "".join(cuts[1:])) if len(cuts) < 3 else cuts
+                    rows.append((i, c["part"], c["name"], words, c["minutes"], head, middle, tail))
+            yield pd.DataFrame(rows, columns=["book_id", "part", "name", "words", "minutes", "head", "middle", "tail"])
+
+    kind = frames.schema["book_id"].dataType.simpleString()
+    return frames.join(sums, "book_id").select("book_id", "book", "parts").mapInPandas(run, f"book_id {kind}, part int, name string, words int, minutes int, head string, middle string, tail string")
+
+
+def part_sizes(frames: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(book_id, part, name, words, minutes, n_chars): the parts' pages and the length of their HTML."""
+    inner = rendered.groupBy("book_id", "part").agg(F.sum(F.length("article") + F.length("quotes")).alias("inner"))
+    around = F.length("head") + F.length("middle") + F.length("tail")
+    rows = render_frames(frames, rendered).join(inner, ["book_id", "part"], "left")
+    return rows.select("book_id", "part", "name", "words", "minutes", (around + F.coalesce("inner", F.lit(0))).alias("n_chars"))
+
+
 def write_pages(parts: DataFrame, folder: str) -> list[str]:
     """One HTML file of its own name for each row of (name, html); the names written.
 

@@ -518,3 +518,21 @@ def test_no_row_holds_a_book(spark, tmp_path):
     assert [(r.content_start, r.content_end) for r in ranges.collect()] == [(0, sum(len(d[2]) + 2 for d in docs if d[2]) - 2)]
     chunks = queries.chunk_build(spark, str(tmp_path)).orderBy("idx").collect()
     assert chunks[0].start == 0 and chunks[-1].end == ranges.first().content_end and all(a.end == b.start for a, b in zip(chunks, chunks[1:], strict=False))
+
+
+def test_pages_chapter_by_chapter(spark, tmp_path):
+    """Rendered a chapter at a time, parts' pages are those of the books in one row."""
+    docs = [(i, f"src{i % 2}", f"Document {i} <begins>.\n" + "\n".join(f"Sentence {k} of *document* {i} goes on & on." for k in range(120))) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frames, chapters = queries.book_frames(spark, str(tmp_path))
+    whole = pages.whole_books(frames, chapters).collect()
+    rendered = pages.render_chapters(chapters)
+    inner = {}
+    for r in rendered.orderBy("idx").collect():
+        articles, quoted = inner.setdefault((r.book_id, r.part), ([], []))
+        articles.append(r.article)
+        quoted.append(r.quotes)
+    got = {(f.book_id, f.part): (f.name, f.words, f.minutes, f.head + "".join(a) + f.middle + "".join(q) + f.tail) for f in pages.render_frames(frames, rendered).collect() for a, q in [inner.get((f.book_id, f.part), ([], []))]}
+    want = {(b.book_id, c["part"]): (c["name"], c["words"], c["minutes"], pages.render_part(c)) for b in whole for c in pages.part_contexts(json.loads(b.book))}
+    assert got == want and len(got) > 2
+    assert {(r.book_id, r.part): r.n_chars for r in pages.part_sizes(frames, rendered).collect()} == {k: len(v[3]) for k, v in want.items()}
