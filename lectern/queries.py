@@ -816,7 +816,7 @@ def book_summary(spark, d):
 
 @query("select source as book_id, true as made, cast(null as varchar) as error from documents group by source")
 def book_epub(spark, d):
-    return epub.epub_books(summaries(spark, d)).select("book_id", (F.length("content") > 1000).alias("made"), "error")
+    return epub.epub_chapters(*book_frames(spark, d)).select("book_id", (F.length("content") > 1000).alias("made"), "error")
 
 
 @query(f"""with f as ({SQL['index_like_docs']}), p as (select source, count(*) as docs, cast(sum(length(text) * 5 // 18 + 1) as bigint) as tokens from documents join f using (doc_id) where not flag group by source)

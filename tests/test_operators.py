@@ -520,8 +520,8 @@ def test_no_row_holds_a_book(spark, tmp_path):
     assert chunks[0].start == 0 and chunks[-1].end == ranges.first().content_end and all(a.end == b.start for a, b in zip(chunks, chunks[1:], strict=False))
 
 
-def test_pages_chapter_by_chapter(spark, tmp_path):
-    """Rendered a chapter at a time, parts' pages are those of the books in one row."""
+def test_pages_and_epub_chapter_by_chapter(spark, tmp_path):
+    """Rendered a chapter at a time, parts' pages and EPUB files are those of the books in one row."""
     docs = [(i, f"src{i % 2}", f"Document {i} <begins>.\n" + "\n".join(f"Sentence {k} of *document* {i} goes on & on." for k in range(120))) for i in range(9)]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     frames, chapters = queries.book_frames(spark, str(tmp_path))
@@ -536,3 +536,7 @@ def test_pages_chapter_by_chapter(spark, tmp_path):
     want = {(b.book_id, c["part"]): (c["name"], c["words"], c["minutes"], pages.render_part(c)) for b in whole for c in pages.part_contexts(json.loads(b.book))}
     assert got == want and len(got) > 2
     assert {(r.book_id, r.part): r.n_chars for r in pages.part_sizes(frames, rendered).collect()} == {k: len(v[3]) for k, v in want.items()}
+    files = {r.book_id: (bytes(r.content), r.error) for r in epub.epub_chapters(frames, chapters).collect()}
+    assert files == {b.book_id: (epub.build_epub(json.loads(b.book)), None) for b in whole}
+    bad = epub.epub_chapters(frames, chapters.withColumn("notes", F.when(F.col("book_id") == "src0", F.lit("[")).otherwise(F.col("notes")))).collect()
+    assert {r.book_id: (r.error is None, r.content is None) for r in bad} == {"src0": (False, True), "src1": (True, False)}
