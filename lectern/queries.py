@@ -582,7 +582,7 @@ from (select p_partkey, p_size * 20 as w, cast(p_retailprice as int) as h, case
 def figure_geometry(spark, d):
     p = t(spark, d, "part")
     shown = F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 100) / F.lit(500.0))
-    return p.select("p_partkey", fx.accept_geometry(F.col("p_size") * 20, F.round("p_retailprice").cast("int"), shown, F.col("p_partkey") % 4).alias("keep"))
+    return p.select("p_partkey", fx.accept_geometry(F.col("p_size") * 20, F.rint("p_retailprice").cast("int"), shown, F.col("p_partkey") % 4).alias("keep"))
 
 
 @query("""with s as (select source, cast(length(text) // 500 as bigint) as size, sum(length(text)) as chars, min(doc_id) as f from documents group by all)

@@ -520,6 +520,17 @@ def test_no_row_holds_a_book(spark, tmp_path):
     assert chunks[0].start == 0 and chunks[-1].end == ranges.first().content_end and all(a.end == b.start for a, b in zip(chunks, chunks[1:], strict=False))
 
 
+def test_prices_are_rounded_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    rows = [(p, size, price) for size in (9, 10, 45, 95) for p, price in ((5, 900.5), (6, 901.5), (7, 899.5), (8, 180.5), (9, 179.5), (10, 900.4), (11, 1000.5))]
+    spark.createDataFrame([(p + 100 * k, s, x) for k, (p, s, x) in enumerate(rows)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.figure_geometry(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(queries.SQL["figure_geometry"]).fetchall()) and (5, True) in got
+
+
 def test_pages_and_epub_chapter_by_chapter(spark, tmp_path):
     """Rendered a chapter at a time, parts' pages and EPUB files are those of the books in one row."""
     docs = [(i, f"src{i % 2}", f"Document {i} <begins>.\n" + "\n".join(f"Sentence {k} of *document* {i} goes on & on." for k in range(120))) for i in range(9)]
